@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesloom.plans import cleaning  # noqa: F401
+from seriesloom.plans import backtesting, cleaning  # noqa: F401
 from seriesloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
