@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 
@@ -112,21 +113,21 @@ def _rowwise(fn, *columns: pd.Series) -> pd.Series:
     ], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return _rowwise(normal_two_sided_value, z)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(t_two_sided_value, t, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(chi2_sf_value, x, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(t_quantile_value, p, df)

@@ -80,11 +80,11 @@ def change_points(df: DataFrame, method: str = "cusum", keys: Sequence[str] = KE
     """Uncalibrated threshold crossings, one row per flagged position.
 
     ``cusum`` above two spreads, ``rolling_mean`` gap above one spread,
-    ``variance`` above the mean rolling variance plus a tenth of the spread.
+    ``fft`` (rolling variance) above the mean rolling variance plus a tenth of the spread.
     Series under ten rows give no rows.
     """
     stats = df.groupBy(*keys).agg(F.stddev_samp("value").alias("_sd"), F.count("value").alias("_n"))
-    factor = {"cusum": 2.0, "rolling_mean": 1.0, "variance": 0.1}[method]
+    factor = {"cusum": 2.0, "rolling_mean": 1.0, "fft": 0.1}[method]
     limit = F.lit(threshold) if threshold is not None else factor * F.col("_sd")
     n = F.col("n")
     if method == "cusum":
