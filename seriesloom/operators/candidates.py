@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.kernels.rows import run_rows
+from seriesloom.kernels.smoothing import level_fit
+
 KEYS = ("series_id", "fold")
 BASELINES = ("Constant", "Naive", "Seasonal Naive", "Mean Forecast", "Drift")
 
@@ -54,71 +58,35 @@ def baseline_forecasts(features: DataFrame, period: int, keys: Sequence[str] = K
     steps = features.withColumn("h", F.explode(F.sequence(F.lit(1), F.col("horizon").cast("int"))))
     rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(name).alias("model"), expr.alias("yhat"))
                      for i, (name, expr) in enumerate(makers.items(), start=8)])
-    extra = [c for c in ("kind",) if c in features.columns]
+    extra = [c for c in ("kind",) if c in features.columns and c not in keys]
     return steps.select(*keys, *extra, "h", F.inline(rows)).filter(F.col("yhat").isNotNull())
 
 
-def ses_fit(train: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str] = ("kind", "horizon"),
-            value: str = "value") -> DataFrame:
-    """Smoothing level by one-step squared error over the fixed grid.
+SES_SCHEMA = ("status string, alpha double, sse double, level double, band_lo double, band_hi double, "
+              "resid array<double>, n_train int")
 
-    A gridded training window is one array per row (calendar-bounded); each grid
-    level is one fold over it, inside the JVM. Ties keep the smaller level.
-    """
-    packed = train.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in carry],
-        F.array_sort(F.collect_list(F.struct("t", F.col(value).alias("v")))).alias("_tv"))
-    packed = packed.withColumn("x", F.transform("_tv", lambda p: p["v"])).drop("_tv")
-    rest = F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(1)))
-    rest = F.when(F.size("x") > 1, rest).otherwise(F.array().cast("array<double>"))
-    # the error comes first: the smallest struct is the best trial
-    start = F.struct(F.lit(0.0).alias("sse"), F.element_at("x", 1).alias("level"))
-
-    def run(alpha):
-        return F.aggregate(rest, start, lambda s, y: F.struct(
-            (s["sse"] + (y - s["level"]) * (y - s["level"])).alias("sse"),
-            (alpha * y + (1 - alpha) * s["level"]).alias("level")))
-
-    trials = F.transform(F.lit(ALPHA_GRID), lambda a: F.struct(run(a).alias("r"), a.alias("alpha")))
-    best = packed.withColumn("_best", F.array_min(trials))
-    long_enough = F.size("x") >= 3
-    return best.select(
-        *keys, *carry, "x", F.size("x").alias("n_train"),
-        F.when(long_enough, F.col("_best.alpha")).alias("alpha"),
-        F.when(long_enough, F.col("_best.r.sse")).alias("sse"),
-        F.when(long_enough, F.col("_best.r.level")).otherwise(F.element_at("x", -1)).alias("level"),
-        F.when(long_enough, "ok").otherwise("not_estimable").alias("status"),
-    )
 
+def ses_fit(windows: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str] = ("horizon",)) -> DataFrame:
+    """Smoothing level by one-step squared error over the fixed grid, per packed window.
 
-def ses_residuals(fit: DataFrame) -> Column:
-    """One-step errors of the fitted level, as an array."""
-    empty = F.array().cast("array<double>")
-    a = F.coalesce(F.col("alpha"), F.lit(1.0))
-    state = F.struct(F.element_at("x", 1).alias("level"), empty.alias("out"))
-    rest = F.when(F.size("x") > 1, F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(1)))).otherwise(empty)
-    return F.aggregate(rest, state, lambda s, y: F.struct(
-        (a * y + (1 - a) * s["level"]).alias("level"),
-        F.concat(s["out"], F.array(y - s["level"])).alias("out")), lambda s: s["out"])
+    All grid levels advance together through the window. The band offsets are
+    the exact residual quantiles, which resampling the residuals converges to.
+    """
 
+    def fit(x, row):
+        if len(x) < 3:
+            return {"status": "not_estimable", "level": float(x[-1]), "resid": [], "n_train": len(x)}
+        alpha, sse, level, resid = level_fit(x, ALPHA_GRID)
+        lo, hi = np.quantile(resid, [0.025, 0.975])
+        return {"status": "ok", "alpha": alpha, "sse": sse, "level": level, "band_lo": float(lo), "band_hi": float(hi),
+                "resid": resid.tolist(), "n_train": len(x)}
 
-def _array_quantile(values: Column, p: float) -> Column:
-    s = F.array_sort(values)
-    pos = (F.size(values) - 1) * F.lit(p)
-    lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
-    a, b = F.get(s, lo), F.get(s, hi)
-    return a + (b - a) * (pos - lo)
+    return run_rows(windows, fit, SES_SCHEMA, [*keys, *carry])
 
 
 def ses_forecasts(fit: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Flat forecast with the exact residual-quantile band (the limit of resampling)."""
-    rows = fit.withColumn("_e", ses_residuals(fit))
-    rows = rows.select(
-        *keys, *[c for c in ("kind",) if c in fit.columns], "horizon", "status", "alpha", "level",
-        F.when(F.size("_e") > 0, _array_quantile(F.col("_e"), 0.025)).alias("_lo"),
-        F.when(F.size("_e") > 0, _array_quantile(F.col("_e"), 0.975)).alias("_hi"))
-    steps = rows.withColumn("h", F.explode(F.sequence(F.lit(1), F.col("horizon").cast("int"))))
+    """Flat forecast with its residual-quantile band."""
+    steps = fit.withColumn("h", F.explode(F.sequence(F.lit(1), F.col("horizon").cast("int"))))
     return steps.select(
-        *keys, *[c for c in ("kind",) if c in fit.columns], "h", F.lit(3).alias("ord"), F.lit("EWMA").alias("model"),
-        F.col("level").alias("yhat"), (F.col("level") + F.col("_lo")).alias("lo"),
-        (F.col("level") + F.col("_hi")).alias("hi"), "status")
+        *keys, "h", F.lit(3).alias("ord"), F.lit("EWMA").alias("model"), F.col("level").alias("yhat"),
+        (F.col("level") + F.col("band_lo")).alias("lo"), (F.col("level") + F.col("band_hi")).alias("hi"), "status")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seriesloom.kernels.rows import pack
 from seriesloom.operators import candidates as C
 from seriesloom.operators import folds as FO
 from seriesloom.operators import metrics as M
@@ -303,7 +304,8 @@ e AS (SELECT r.*, row_number() OVER (PARTITION BY r.series_id, r.fold ORDER BY s
 SELECT series_id, fold, alpha, round(sse / 1e6, 2) AS sse_millions, round(level, 3) AS level FROM e WHERE k = 1""")
 def ses_alpha_grid(spark, d):
     bt = segment_backtest(spark, d)
-    fit = C.ses_fit(bt.train.filter(F.col("kind") == "rolling"), ("series_id", "fold"), ("horizon",))
+    windows = pack(bt.train.filter(F.col("kind") == "rolling"), ("series_id", "fold"), carry=["horizon"])
+    fit = C.ses_fit(windows, ("series_id", "fold"))
     return fit.select("series_id", "fold", "alpha", F.round(F.col("sse") / 1e6, 2).alias("sse_millions"), *_r("level", digits=3))
 
 

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import future_stamps
+from seriesloom.kernels.rows import pack
 from seriesloom.operators import candidates as C
 from seriesloom.operators import folds as FO
+from seriesloom.operators import fitted as FT
 from seriesloom.operators import metrics as M
+from seriesloom.operators import transforms as X
 from seriesloom.operators.impute import impute_training
 from seriesloom.operators.outliers import treat_outliers, winsorise
+from seriesloom.operators.quality import constant_and_skew
 from seriesloom.operators.selection import select_models
 from seriesloom.operators.smooth import smooth
 
@@ -37,7 +41,7 @@ class Backtest:
         return C.baseline_forecasts(feats, self.period, FK, F.col("_const"))
 
     def smoothing(self) -> DataFrame:
-        return C.ses_forecasts(C.ses_fit(self.train, FK, ("horizon",)), FK)
+        return C.ses_forecasts(C.ses_fit(pack(self.train, FK, carry=["horizon"]), FK), FK)
 
     def errors(self, predictions: DataFrame, kind: str = "rolling") -> DataFrame:
         """Aligned errors with the scale of the first fold (or of the final window)."""
@@ -97,3 +101,90 @@ def best_baseline_forecast(panel: DataFrame, period: int, horizon: int, freq: st
     chosen = select_models(pooled_evidence(bt, bt.baselines()), (loss,)).select(
         "series_id", F.col("selected_model").alias("model"), "selected_rmse")
     return baseline_refit(panel, period, horizon, freq).join(chosen, ["series_id", "model"])
+
+
+def transform_choice(panel: DataFrame) -> DataFrame:
+    """Series whose skewness exceeds one, with the transform their sign allows."""
+    return constant_and_skew(panel).filter(F.col("transform").isNotNull()).select("series_id", "transform")
+
+
+def transformed_windows(bt: Backtest, keys=FK) -> DataFrame:
+    """Training windows of triggered series on the transformed scale, with parameters."""
+    rows = bt.train.join(transform_choice(bt.panel), "series_id")
+    bc = X.fit_box_cox(rows.filter(F.col("transform") == "Box-Cox"), keys).select(*keys, "lmbda", "shift")
+    yj = X.fit_yeo_johnson(rows.filter(F.col("transform") == "Yeo-Johnson"), keys).select(
+        *keys, "lmbda", F.lit(0.0).alias("shift"))
+    params = bc.unionByName(yj).filter(F.col("lmbda").isNotNull())
+    joined = rows.join(params, list(keys))
+    value = F.when(F.col("transform") == "Box-Cox", X.box_cox(F.col("value"), F.col("lmbda"), F.col("shift"))).otherwise(
+        X.yeo_johnson(F.col("value"), F.col("lmbda")))
+    return joined.withColumn("value", value)
+
+
+def back_transform(y, transform, lam, shift):
+    return F.when(transform == "Box-Cox", X.box_cox_inverse(y, lam, shift)).otherwise(X.yeo_johnson_inverse(y, lam))
+
+
+def untransform_fits(fits: DataFrame) -> DataFrame:
+    """Long predictions on the original scale: smeared point, plain inverse bounds."""
+    inv = lambda y: back_transform(y, F.col("transform"), F.col("lmbda"), F.col("shift"))
+    rows = fits.withColumns({
+        "yhat": F.transform("yhat", lambda y: X.smeared_inverse(y, F.col("resid"), inv)),
+        "lo": F.transform("lo", inv), "hi": F.transform("hi", inv),
+        "model": F.concat("model", F.lit(" + "), "transform"), "ord": F.col("ord") + 20})
+    return FT.fit_rows(rows, FK)
+
+
+def transformed_smoothing(bt: Backtest) -> DataFrame:
+    """Simple smoothing fitted on the transformed scale and mapped back."""
+    extra = ("horizon", "transform", "lmbda", "shift")
+    fit = C.ses_fit(pack(transformed_windows(bt), FK, carry=extra), FK, extra)
+    flat = lambda c: F.array_repeat(c, F.col("horizon").cast("int"))
+    fits = fit.select(
+        *FK, *extra, "resid", "status", F.lit("EWMA").alias("model"), F.lit(3).alias("ord"), flat(F.col("level")).alias("yhat"),
+        flat(F.col("level") + F.col("band_lo")).alias("lo"), flat(F.col("level") + F.col("band_hi")).alias("hi"))
+    return untransform_fits(fits)
+
+
+def transformed_kernels(bt: Backtest) -> DataFrame:
+    """Solver-backed candidates fitted on the transformed scale and mapped back."""
+    windows = pack(transformed_windows(bt), FK, carry=["horizon", "transform", "lmbda", "shift"])
+    params = windows.select(*FK, "transform", "lmbda", "shift")
+    plain = windows.select(*FK, "horizon", "x")
+    fits = FT.arima(plain, FK).unionByName(FT.sarima(plain, bt.period, FK)).unionByName(
+        FT.holt_winters(plain, bt.period, FK))
+    return untransform_fits(fits.join(params, list(FK)))
+
+
+def all_predictions(bt: Backtest, transformed: bool = True) -> DataFrame:
+    """Every candidate's predictions on identical folds, as one long table."""
+    windows = pack(bt.train, FK, carry=["horizon"])
+    kernels = [FT.fit_rows(f, FK) for f in (
+        FT.arima(windows, FK), FT.sarima(windows, bt.period, FK), FT.holt_winters(windows, bt.period, FK))]
+    out = bt.baselines()
+    for part in (*kernels, bt.smoothing().drop("status")):
+        out = out.unionByName(part, allowMissingColumns=True)
+    if transformed:
+        out = out.unionByName(transformed_smoothing(bt), allowMissingColumns=True)
+        out = out.unionByName(transformed_kernels(bt), allowMissingColumns=True)
+    return out
+
+
+def production_fits(panel: DataFrame, period: int, horizon: int, freq: str) -> DataFrame:
+    """Every candidate refitted on the full history, as long forecasts with dates."""
+    full = impute_training(panel, "interpolate")
+    ends = full.groupBy("series_id").agg(F.count(F.lit(1)).alias("train_end"), F.max("ts").alias("last_ts"))
+    rows = full.join(ends, "series_id").withColumns({
+        "horizon": F.lit(horizon).cast("long"), "fold": F.lit(0), "kind": F.lit("production")})
+    bt = Backtest(panel, ends, rows, rows, period, horizon)
+    preds = all_predictions(bt)
+    stamps = ends.select("series_id", F.posexplode(future_stamps(F.col("last_ts"), horizon, freq)).alias("_i", "ts"))
+    return preds.drop("fold", "kind").join(stamps.withColumn("h", F.col("_i") + 1).drop("_i"), ["series_id", "h"])
+
+
+def production_forecast(panel: DataFrame, period: int, horizon: int, freq: str, loss: str = "mase") -> DataFrame:
+    """Selected model per series by rolling-origin loss, refitted and forecast."""
+    bt = backtest(panel, period, horizon)
+    chosen = select_models(pooled_evidence(bt, all_predictions(bt)), (loss,)).select(
+        "series_id", F.col("selected_model").alias("model"))
+    return production_fits(panel, period, horizon, freq).join(chosen, ["series_id", "model"])
