@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.guards import clip
+from seriesloom.staging import stage
 
 EPSILON = 1e-8
 MIN_LENGTH = 5
@@ -75,6 +76,8 @@ def fit_box_cox(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     rows = rows.select(*keys, F.ln(F.col("value") + F.col("shift")).alias("_ln"))
     centre = rows.groupBy(*keys).agg(F.avg("_ln").alias("_g"))
     scaled = rows.join(centre, list(keys)).select(*keys, F.exp(F.col("_ln") - F.col("_g")).alias("_z"))
+    # the search reads the rows twice: once per grid
+    scaled = stage(scaled, "scaled")
     best = _search(scaled, keys, lambda lam: -F.var_pop(_power(F.col("_z"), lam)))
     out = shift.join(best, list(keys), "left")
     return out.withColumn("is_fitted", F.col("lmbda").isNotNull())

@@ -23,11 +23,11 @@ def _r(*names, digits=5):
 
 
 def segment_backtest(spark, d):
-    return E.backtest(reindex(P.segment_raw(spark, d), "MS"), PERIOD, HORIZON)
+    return E.backtest(P.gridded(P.segment_raw(spark, d), "MS"), PERIOD, HORIZON)
 
 
 def supplier_backtest(spark, d):
-    return E.backtest(reindex(P.supplier_raw(spark, d), "MS"), PERIOD, HORIZON)
+    return E.backtest(P.gridded(P.supplier_raw(spark, d), "MS"), PERIOD, HORIZON)
 
 
 for _p in ("seg", "sup"):
@@ -254,7 +254,7 @@ SELECT s.series_id, s.model, s.h, s.last_ts + to_months(CAST(s.h AS INTEGER)) AS
   WHEN 'Drift' THEN last + h * (last - first) / (n - 1) ELSE f.value END, 2) AS yhat, round(s.rmse, 2) AS selected_rmse
 FROM s LEFT JOIN full_ f ON f.series_id = s.series_id AND f.t = s.n - 12 + (s.h - 1) % 12""")
 def baseline_forecast(spark, d):
-    panel = reindex(P.segment_raw(spark, d), "MS")
+    panel = P.gridded(P.segment_raw(spark, d), "MS")
     out = E.best_baseline_forecast(panel, PERIOD, HORIZON, "MS")
     return out.select("series_id", "model", "h", "ts", *_r("yhat", "selected_rmse", digits=2))
 

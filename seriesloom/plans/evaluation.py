@@ -19,6 +19,7 @@ from seriesloom.operators.outliers import treat_outliers, winsorise
 from seriesloom.operators.quality import constant_and_skew
 from seriesloom.operators.selection import select_models
 from seriesloom.operators.smooth import smooth
+from seriesloom.staging import stage
 
 FK = ("series_id", "fold", "kind")
 
@@ -67,7 +68,8 @@ def prepare_training(train: DataFrame, keys=FK, outliers: str = "none", imputati
 def backtest(panel: DataFrame, period: int, horizon: int, block: int | None = None, **prep) -> Backtest:
     """Plan folds and fold-safe training windows for a gridded panel (gaps as NULL)."""
     folds = FO.fold_plan(FO.series_sizes(panel), horizon)
-    train = prepare_training(FO.training_windows(panel, folds), FK, block=block, **prep)
+    # read by every candidate, the scale and the transforms
+    train = stage(prepare_training(FO.training_windows(panel, folds), FK, block=block, **prep), "train")
     return Backtest(panel, folds, train, FO.test_windows(panel, folds), period, horizon)
 
 
@@ -148,7 +150,7 @@ def transformed_smoothing(bt: Backtest) -> DataFrame:
 
 def transformed_kernels(bt: Backtest) -> DataFrame:
     """Solver-backed candidates fitted on the transformed scale and mapped back."""
-    windows = pack(transformed_windows(bt), FK, carry=["horizon", "transform", "lmbda", "shift"])
+    windows = stage(pack(transformed_windows(bt), FK, carry=["horizon", "transform", "lmbda", "shift"]), "windows")
     params = windows.select(*FK, "transform", "lmbda", "shift")
     plain = windows.select(*FK, "horizon", "x")
     fits = FT.arima(plain, FK).unionByName(FT.sarima(plain, bt.period, FK)).unionByName(
@@ -158,7 +160,7 @@ def transformed_kernels(bt: Backtest) -> DataFrame:
 
 def all_predictions(bt: Backtest, transformed: bool = True) -> DataFrame:
     """Every candidate's predictions on identical folds, as one long table."""
-    windows = pack(bt.train, FK, carry=["horizon"])
+    windows = stage(pack(bt.train, FK, carry=["horizon"]), "windows")
     kernels = [FT.fit_rows(f, FK) for f in (
         FT.arima(windows, FK), FT.sarima(windows, bt.period, FK), FT.holt_winters(windows, bt.period, FK))]
     out = bt.baselines()
@@ -167,7 +169,7 @@ def all_predictions(bt: Backtest, transformed: bool = True) -> DataFrame:
     if transformed:
         out = out.unionByName(transformed_smoothing(bt), allowMissingColumns=True)
         out = out.unionByName(transformed_kernels(bt), allowMissingColumns=True)
-    return out
+    return stage(out, "predictions")
 
 
 def production_fits(panel: DataFrame, period: int, horizon: int, freq: str) -> DataFrame:

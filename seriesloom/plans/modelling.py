@@ -11,7 +11,6 @@ from seriesloom.operators import residuals as R
 from seriesloom.operators import selection as S
 from seriesloom.operators import trend as T
 from seriesloom.operators import transforms as X
-from seriesloom.operators.grid import reindex
 from seriesloom.plans import evaluation as E
 from seriesloom.plans import panels as P
 from seriesloom.plans.backtesting import segment_backtest, supplier_backtest
@@ -180,7 +179,7 @@ def sarima_grid(spark, d):
 
 @query("transformed_candidates")
 def transformed_candidates(spark, d):
-    bt = E.backtest(reindex(P.user_day_raw(spark, d), "D"), 7, 5)
+    bt = E.backtest(P.gridded(P.user_day_raw(spark, d), "D"), 7, 5)
     return E.transformed_smoothing(bt)
 
 
@@ -192,7 +191,7 @@ def full_model_selection(spark, d):
 
 @query("production_forecast")
 def production_forecast(spark, d):
-    panel = reindex(P.segment_raw(spark, d), "MS")
+    panel = P.gridded(P.segment_raw(spark, d), "MS")
     return E.production_forecast(panel, 12, 12, "MS")
 
 

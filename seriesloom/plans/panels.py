@@ -14,6 +14,7 @@ from seriesloom.functions.calendar import bucket
 from seriesloom.operators.grid import reindex
 from seriesloom.operators.impute import interpolate_position
 from seriesloom.plans.registry import cte
+from seriesloom.staging import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,8 +84,13 @@ def event_hours(spark, sf_dir) -> DataFrame:
 
 
 def prepared(raw: DataFrame, freq: str, block: int | None = None) -> DataFrame:
-    """Gridded and position-interpolated panel with ordinal ``t``."""
-    return interpolate_position(reindex(raw, freq), block=block)
+    """Staged gridded and position-interpolated panel with ordinal ``t``."""
+    return stage(interpolate_position(reindex(raw, freq), block=block), "panel")
+
+
+def gridded(raw: DataFrame, freq: str) -> DataFrame:
+    """Staged gridded panel, gaps as NULL."""
+    return stage(reindex(raw, freq), "grid")
 
 
 def segment_prep(spark, sf_dir) -> DataFrame:
