@@ -7,15 +7,12 @@ ordered pass over the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import epoch_micros, normalise_frequency, period_index, period_stamp
-from seriesloom.operators.scans import sum_before_after_gap
 
 _DAY = 86_400_000_000
-# Raw stamps are ordered in blocks of one day.
-_RAW_SPAN = _DAY
 
 
 def _consecutive(unit: str) -> Column:
@@ -54,12 +51,23 @@ def regular_frequency(panel: DataFrame) -> DataFrame:
 
 
 def median_gap_days(panel: DataFrame) -> DataFrame:
-    """Median of whole-day gaps between consecutive rows (exact)."""
-    rows = panel.select("series_id", "ts", epoch_micros(F.col("ts")).alias("_us"))
-    gaps = sum_before_after_gap(rows, ["series_id"], "ts", "_us", "_gap", "_us", _RAW_SPAN)
-    days = F.floor(F.col("_gap") / F.lit(_DAY))
-    # whole days: the distinct values the aggregate holds are few
-    return gaps.groupBy("series_id").agg(F.percentile(days, F.lit(0.5)).alias("median_days"))
+    """Median of whole-day gaps between consecutive rows (exact).
+
+    Rows of one day are less than a day apart, so they only add zeros: a count
+    with the first and last stamp per (series, day) is enough. The rows are
+    never ordered; the window runs over occupied days, which a calendar bounds.
+    """
+    us = epoch_micros(F.col("ts"))
+    days = panel.groupBy("series_id", F.col("ts").cast("date").alias("_day")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(us).alias("_a"), F.max(us).alias("_b"))
+    before = F.lag("_b").over(Window.partitionBy("series_id").orderBy("_day"))
+    gap = F.floor((F.col("_a") - before) / F.lit(_DAY))
+    weighted = days.select("series_id", F.inline(F.array(
+        F.struct(gap.alias("gap"), F.lit(1).cast("long").alias("times")),
+        F.struct(F.lit(0).cast("long").alias("gap"), (F.col("_n") - 1).alias("times")))))
+    usable = weighted.filter(F.col("gap").isNotNull() & (F.col("times") > 0))
+    median = usable.groupBy("series_id").agg(F.percentile("gap", F.lit(0.5), F.col("times")).alias("median_days"))
+    return panel.select("series_id").distinct().join(median, "series_id", "left")
 
 
 def infer_frequency(panel: DataFrame) -> DataFrame:

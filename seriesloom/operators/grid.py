@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.calendar import period_index, period_stamp
+from seriesloom.functions.calendar import block_for, period_index, period_stamp
 
 _CHUNK = 4_096
 
@@ -23,6 +23,9 @@ def calendar_grid(panel: DataFrame, freq: str, keys: Sequence[str] = ("series_id
         *keys, period_index(F.col("_a"), freq).alias("_lo"), period_index(F.col("_b"), freq).alias("_hi")
     )
     starts = spans.withColumn("_s", F.explode(F.sequence("_lo", "_hi", F.lit(_CHUNK).cast("long"))))
+    if block_for(freq) is not None:
+        # a few long calendars would otherwise be generated by a few tasks
+        starts = starts.repartition(*keys, "_s")
     cells = starts.withColumn(
         "_p", F.explode(F.sequence(F.col("_s"), F.least(F.col("_s") + _CHUNK - 1, F.col("_hi"))))
     )

@@ -100,17 +100,17 @@ def terminal_holdout(spark, d):
     return out.select("series_id", "n", "split_at", "t", "is_test")
 
 
-@query("training_windows", "SELECT series_id, fold, kind, t, round(value, 4) AS value FROM sup_train")
+@query("training_windows", "SELECT series_id, fold, kind, t, round(value, 7) AS value FROM sup_train")
 def training_windows(spark, d):
-    return supplier_backtest(spark, d).train.select("series_id", "fold", "kind", "t", *_r("value", digits=4))
+    return supplier_backtest(spark, d).train.select("series_id", "fold", "kind", "t", *_r("value", digits=7))
 
 
 for _name, _model in (("backtest_naive", "Naive"), ("backtest_snaive", "Seasonal Naive"),
                       ("backtest_mean", "Mean Forecast"), ("backtest_drift", "Drift")):
-    @query(_name, f"SELECT series_id, fold, kind, h, round(yhat, 4) AS yhat FROM sup_pred WHERE model = '{_model}'")
+    @query(_name, f"SELECT series_id, fold, kind, h, round(yhat, 7) AS yhat FROM sup_pred WHERE model = '{_model}'")
     def _baseline(spark, d, model=_model):
         preds = supplier_backtest(spark, d).baselines().filter(F.col("model") == model)
-        return preds.select("series_id", "fold", "kind", "h", *_r("yhat", digits=4))
+        return preds.select("series_id", "fold", "kind", "h", *_r("yhat", digits=7))
 
 
 @query("mase_scale", "SELECT series_id, round(scale, 5) AS scale, round(scale_sq, 4) AS scale_sq FROM sup_scale")
@@ -251,12 +251,12 @@ def reselect_flagged(spark, d):
 WITH full_ AS (SELECT * FROM seg_prep), e AS (SELECT series_id, max(t) + 1 AS n, max(ts) AS last_ts, arg_max(value, t) AS last, arg_min(value, t) AS first, avg(value) AS mean FROM full_ GROUP BY 1),
 s AS (SELECT e.*, h, p.model, p.rmse FROM e JOIN seg_pick p USING (series_id), (SELECT unnest(range(1, 13)) AS h))
 SELECT s.series_id, s.model, s.h, s.last_ts + to_months(CAST(s.h AS INTEGER)) AS ts, round(CASE s.model WHEN 'Naive' THEN last WHEN 'Mean Forecast' THEN mean
-  WHEN 'Drift' THEN last + h * (last - first) / (n - 1) ELSE f.value END, 2) AS yhat, round(s.rmse, 2) AS selected_rmse
+  WHEN 'Drift' THEN last + h * (last - first) / (n - 1) ELSE f.value END, 4) AS yhat, round(s.rmse, 4) AS selected_rmse
 FROM s LEFT JOIN full_ f ON f.series_id = s.series_id AND f.t = s.n - 12 + (s.h - 1) % 12""")
 def baseline_forecast(spark, d):
     panel = P.gridded(P.segment_raw(spark, d), "MS")
     out = E.best_baseline_forecast(panel, PERIOD, HORIZON, "MS")
-    return out.select("series_id", "model", "h", "ts", *_r("yhat", "selected_rmse", digits=2))
+    return out.select("series_id", "model", "h", "ts", *_r("yhat", "selected_rmse", digits=4))
 
 
 @query("holdout_baselines", """
@@ -281,12 +281,12 @@ def holdout_baselines(spark, d):
 
 @query("fold_safe_clip", """
 WITH q AS (SELECT series_id, fold, quantile_cont(raw, 0.25) q1, quantile_cont(raw, 0.75) q3 FROM sup_twin WHERE kind = 'rolling' GROUP BY 1, 2)
-SELECT series_id, fold, t, round(CASE WHEN raw IS NULL THEN NULL ELSE least(greatest(raw, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) END, 5) AS value
+SELECT series_id, fold, t, round(CASE WHEN raw IS NULL THEN NULL ELSE least(greatest(raw, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) END, 7) AS value
 FROM sup_twin JOIN q USING (series_id, fold) WHERE kind = 'rolling'""")
 def fold_safe_clip(spark, d):
     bt = supplier_backtest(spark, d)
     train = FO.training_windows(bt.panel, bt.folds).filter(F.col("kind") == "rolling")
-    return treat_outliers(train, "clip", ("series_id", "fold")).select("series_id", "fold", "t", *_r("value"))
+    return treat_outliers(train, "clip", ("series_id", "fold")).select("series_id", "fold", "t", *_r("value", digits=7))
 
 
 _SES_SQL = """

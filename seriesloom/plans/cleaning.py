@@ -10,7 +10,7 @@ from seriesloom.plans import panels as P
 from seriesloom.plans.registry import query
 
 
-def _r(*names, digits=4):
+def _r(*names, digits=7):
     return [F.round(F.col(n), digits).alias(n) for n in names]
 
 
@@ -131,7 +131,7 @@ for _name, _strategy, _sql in (
     ("dedupe_mean", "mean", "avg(value)"),
     ("dedupe_sum", "sum", "coalesce(sum(value), 0)"),
 ):
-    @query(_name, f"SELECT series_id, ts, round({_sql}, 4) AS value FROM ev_hours GROUP BY 1, 2")
+    @query(_name, f"SELECT series_id, ts, round({_sql}, 7) AS value FROM ev_hours GROUP BY 1, 2")
     def _dedupe(spark, d, strategy=_strategy):
         out = duplicates.resolve_duplicates(P.event_hours(spark, d), strategy)
         return out.select("series_id", "ts", *_r("value"))
@@ -164,14 +164,14 @@ def bfill(spark, d):
 
 
 @query("interp_time", """
-SELECT series_id, t, ts, round(coalesce(value, v0 + (v1 - v0) * (epoch_us(ts) - epoch_us(ts0)) / (epoch_us(ts1) - epoch_us(ts0)), v0), 4) AS value
+SELECT series_id, t, ts, round(coalesce(value, v0 + (v1 - v0) * (epoch_us(ts) - epoch_us(ts0)) / (epoch_us(ts1) - epoch_us(ts0)), v0), 7) AS value
 FROM sup_near""")
 def interp_time(spark, d):
     out = impute.interpolate_time(grid.reindex(P.supplier_raw(spark, d), "MS"))
     return out.select("series_id", "t", "ts", *_r("value"))
 
 
-@query("interp_position", "SELECT series_id, t, ts, round(value, 4) AS value FROM hr_prep")
+@query("interp_position", "SELECT series_id, t, ts, round(value, 7) AS value FROM hr_prep")
 def interp_position(spark, d):
     out = impute.interpolate_position(grid.reindex(P.hour_raw(spark, d), "h"), block=128)
     return out.select("series_id", "t", "ts", *_r("value"))
@@ -187,7 +187,7 @@ b AS (SELECT series_id, mu, sd, mu - 3 * sd AS lo, mu + 3 * sd AS hi FROM q)"""
 
 @query("iqr_outliers", _IQR + """
 SELECT series_id, count(*) FILTER (value < lo OR value > hi) AS outlier_count, count(*) AS n_rows,
-  round(any_value(lo), 4) AS lower_bound, round(any_value(hi), 4) AS upper_bound,
+  round(any_value(lo), 7) AS lower_bound, round(any_value(hi), 7) AS upper_bound,
   round(count(*) FILTER (value < lo OR value > hi) / count(*), 6) AS outlier_ratio
 FROM ev_rows JOIN b USING (series_id) GROUP BY 1""")
 def iqr_outliers(spark, d):
@@ -197,8 +197,8 @@ def iqr_outliers(spark, d):
 
 
 @query("zscore_outliers", _Z + """
-SELECT series_id, count(*) FILTER (abs((value - mu) / sd) > 3) AS outlier_count, round(any_value(mu), 4) AS mean,
-  round(any_value(sd), 4) AS sd, round(any_value(lo), 4) AS lower_bound, round(any_value(hi), 4) AS upper_bound
+SELECT series_id, count(*) FILTER (abs((value - mu) / sd) > 3) AS outlier_count, round(any_value(mu), 7) AS mean,
+  round(any_value(sd), 7) AS sd, round(any_value(lo), 7) AS lower_bound, round(any_value(hi), 7) AS upper_bound
 FROM ev_rows JOIN b USING (series_id) GROUP BY 1""")
 def zscore_outliers(spark, d):
     out = outliers.zscore_report(P.event_rows(spark, d))
@@ -229,7 +229,7 @@ WITH RECURSIVE s AS (
   SELECT series_id, t, value AS smoothed FROM sup_prep WHERE t = 0
   UNION ALL
   SELECT p.series_id, p.t, 2.0 / 7 * p.value + 5.0 / 7 * s.smoothed FROM s JOIN sup_prep p ON p.series_id = s.series_id AND p.t = s.t + 1)
-SELECT series_id, t, round(smoothed, 4) AS smoothed FROM s""")
+SELECT series_id, t, round(smoothed, 7) AS smoothed FROM s""")
 def ewm_smooth(spark, d):
     out = smooth.smooth(P.supplier_prep(spark, d), "ewma", span=6)
     return out.select("series_id", "t", *_r("smoothed"))
@@ -239,7 +239,7 @@ def ewm_smooth(spark, d):
 WITH n AS (SELECT series_id, count(*) AS n FROM sup_prep GROUP BY 1),
 p AS (SELECT series_id, t, n, greatest(0, least(t - 5, n - 11)) AS s FROM sup_prep JOIN n USING (series_id))
 SELECT p.series_id, p.t, round(sum(q.value * (1.0 / 11 + (p.t - p.s - 5) * (q.t - p.s - 5) / 110.0
-   + ((p.t - p.s - 5) ** 2 - 10) * ((q.t - p.s - 5) ** 2 - 10) / 858.0)), 4) AS smoothed
+   + ((p.t - p.s - 5) ** 2 - 10) * ((q.t - p.s - 5) ** 2 - 10) / 858.0)), 7) AS smoothed
 FROM p JOIN sup_prep q ON q.series_id = p.series_id AND q.t BETWEEN p.s AND p.s + 10
 GROUP BY 1, 2""")
 def savgol_smooth(spark, d):
@@ -249,23 +249,23 @@ def savgol_smooth(spark, d):
 
 @query("rolling_centred", """
 WITH n AS (SELECT series_id, count(*) n, greatest(5, count(*) // 10) w FROM sup_prep GROUP BY 1)
-SELECT a.series_id, a.t, round(avg(b.value), 4) AS roll_mean, round(var_samp(b.value), 3) AS roll_var
+SELECT a.series_id, a.t, round(avg(b.value), 7) AS roll_mean, round(var_samp(b.value), 6) AS roll_var
 FROM sup_prep a JOIN n USING (series_id)
 JOIN sup_prep b ON b.series_id = a.series_id AND b.t BETWEEN a.t - (w - 1 - (w - 1) // 2) AND a.t + (w - 1) // 2
 GROUP BY a.series_id, a.t, w HAVING count(*) = w""")
 def rolling_centred(spark, d):
     window = F.greatest(F.lit(5), F.floor(F.col("n") / 10))
     out = rolling.rolling_moments(P.supplier_prep(spark, d), window, centred=True)
-    return out.select("series_id", "t", *_r("roll_mean"), *_r("roll_var", digits=3))
+    return out.select("series_id", "t", *_r("roll_mean"), *_r("roll_var", digits=6))
 
 
 @query("rolling_trailing_hours", """
-SELECT a.series_id, a.t, round(avg(b.value), 6) AS roll_mean, round(var_samp(b.value), 3) AS roll_var
+SELECT a.series_id, a.t, round(avg(b.value), 9) AS roll_mean, round(var_samp(b.value), 6) AS roll_var
 FROM hr_prep a JOIN hr_prep b ON b.series_id = a.series_id AND b.t BETWEEN a.t - 23 AND a.t
 GROUP BY 1, 2 HAVING count(*) = 24""")
 def rolling_trailing_hours(spark, d):
     out = rolling.rolling_moments(P.hour_prep(spark, d, 128), F.lit(24), block=128)
-    return out.select("series_id", "t", *_r("roll_mean", digits=6), *_r("roll_var", digits=3))
+    return out.select("series_id", "t", *_r("roll_mean", digits=9), *_r("roll_var", digits=6))
 
 
 @query("variance_stability", """
@@ -273,7 +273,7 @@ WITH n AS (SELECT series_id, count(*) n, greatest(5, count(*) // 10) w, min(valu
 r AS (SELECT a.series_id, a.t, avg(b.value) m, stddev_samp(b.value) s, any_value(lo) lo, any_value(n) n
   FROM sup_prep a JOIN n USING (series_id) JOIN sup_prep b ON b.series_id = a.series_id AND b.t BETWEEN a.t - w + 1 AND a.t
   GROUP BY a.series_id, a.t, w HAVING count(*) = w)
-SELECT series_id, round(corr(m, s), 4) AS correlation, abs(corr(m, s)) > 0.6 AND any_value(lo) > 0 AS is_unstable
+SELECT series_id, round(corr(m, s), 7) AS correlation, abs(corr(m, s)) > 0.6 AND any_value(lo) > 0 AS is_unstable
 FROM r GROUP BY 1""")
 def variance_stability(spark, d):
     out = rolling.variance_stability(P.supplier_prep(spark, d))
@@ -318,10 +318,10 @@ dec AS (SELECT tr.series_id, tr.t, tr.value, trend, s - sbar AS seasonal, value
 
 
 @query("classical_decompose", _DECOMP + """
-SELECT series_id, t, round(trend, 3) AS trend, round(seasonal, 3) AS seasonal, round(resid, 3) AS resid FROM dec""")
+SELECT series_id, t, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(resid, 6) AS resid FROM dec""")
 def classical_decompose(spark, d):
     out = decompose.classical_decompose(P.supplier_prep(spark, d), 12)
-    return out.select("series_id", "t", *_r("trend", "seasonal", "resid", digits=3))
+    return out.select("series_id", "t", *_r("trend", "seasonal", "resid", digits=6))
 
 
 @query("seasonal_strength", _DECOMP + """
@@ -335,26 +335,26 @@ def seasonal_strength(spark, d):
 @query("impute_seasonal", """
 WITH p0 AS (SELECT series_id, t, value AS raw, coalesce(value, v0 + (v1 - v0) * (epoch_us(ts) - epoch_us(ts0)) / (epoch_us(ts1) - epoch_us(ts0)), v0, v1) AS value FROM sup_near),
 """ + _DECOMP.strip()[5:].replace("sup_prep", "p0") + """
-SELECT p0.series_id, p0.t, round(coalesce(p0.raw, dec.trend + dec.seasonal), 3) AS value
+SELECT p0.series_id, p0.t, round(coalesce(p0.raw, dec.trend + dec.seasonal), 6) AS value
 FROM p0 JOIN dec ON dec.series_id = p0.series_id AND dec.t = p0.t""")
 def impute_seasonal(spark, d):
     out = decompose.impute_seasonal(grid.reindex(P.supplier_raw(spark, d), "MS"), 12)
-    return out.select("series_id", "t", *_r("value", digits=3))
+    return out.select("series_id", "t", *_r("value", digits=6))
 
 
 @query("describe_panel", """
-SELECT series_id, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, min(value) AS min,
-  round(quantile_cont(value, 0.5), 4) AS median, max(value) AS max FROM ev_rows GROUP BY 1""")
+SELECT series_id, count(value) AS n, round(avg(value), 7) AS mean, round(stddev_samp(value), 7) AS sd, min(value) AS min,
+  round(quantile_cont(value, 0.5), 7) AS median, max(value) AS max FROM ev_rows GROUP BY 1""")
 def describe_panel(spark, d):
     return P.event_rows(spark, d).groupBy("series_id").agg(
-        F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"),
-        F.round(F.stddev_samp("value"), 4).alias("sd"), F.min("value").alias("min"),
-        F.round(F.percentile("value", F.lit(0.5)), 4).alias("median"), F.max("value").alias("max"))
+        F.count("value").alias("n"), F.round(F.avg("value"), 7).alias("mean"),
+        F.round(F.stddev_samp("value"), 7).alias("sd"), F.min("value").alias("min"),
+        F.round(F.percentile("value", F.lit(0.5)), 7).alias("median"), F.max("value").alias("max"))
 
 
 @query("fold_safe_zclip", """
 WITH q AS (SELECT series_id, avg(value) mu, stddev_pop(value) sd FROM sup_raw GROUP BY 1)
-SELECT series_id, ts, round(CASE WHEN sd > 0 THEN least(greatest(value, mu - 3 * sd), mu + 3 * sd) ELSE value END, 4) AS value
+SELECT series_id, ts, round(CASE WHEN sd > 0 THEN least(greatest(value, mu - 3 * sd), mu + 3 * sd) ELSE value END, 7) AS value
 FROM sup_raw JOIN q USING (series_id)""")
 def fold_safe_zclip(spark, d):
     out = outliers.treat_outliers(P.supplier_raw(spark, d), "zscore_clip", population=True)

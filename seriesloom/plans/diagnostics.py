@@ -49,9 +49,9 @@ def trend_ols_pvalue(spark, d):
     return T.trend_ols(P.supplier_prep(spark, d))
 
 
-@query("detrend", "SELECT series_id, t, round(resid, 4) AS resid FROM sup_res")
+@query("detrend", "SELECT series_id, t, round(resid, 7) AS resid FROM sup_res")
 def detrend(spark, d):
-    return T.detrend(P.supplier_prep(spark, d)).select("series_id", "t", *_r("resid", digits=4))
+    return T.detrend(P.supplier_prep(spark, d)).select("series_id", "t", *_r("resid", digits=7))
 
 
 @query("trend_hac_stat", """
@@ -177,9 +177,9 @@ SELECT series_id, t, value, sd, sum(value - mu) OVER (PARTITION BY series_id ORD
 FROM (SELECT *, avg(value) OVER (PARTITION BY series_id) AS mu, stddev_samp(value) OVER (PARTITION BY series_id) AS sd FROM sup_prep)""")
 
 
-@query("cusum_points", "SELECT series_id, t, round(abs(cusum), 4) AS size FROM sup_cusum WHERE abs(cusum) > 2 * sd")
+@query("cusum_points", "SELECT series_id, t, round(abs(cusum), 6) AS size FROM sup_cusum WHERE abs(cusum) > 2 * sd")
 def cusum_points(spark, d):
-    return A.change_points(P.supplier_prep(spark, d), "cusum").select("series_id", "t", *_r("size", digits=4))
+    return A.change_points(P.supplier_prep(spark, d), "cusum").select("series_id", "t", *_r("size", digits=6))
 
 
 @query("rolling_mean_points", """
@@ -188,9 +188,9 @@ r1 AS (SELECT a.series_id, a.t, avg(b.value) m FROM sup_prep a JOIN n USING (ser
   JOIN sup_prep b ON b.series_id = a.series_id AND b.t BETWEEN a.t - (w1 - 1 - (w1 - 1) // 2) AND a.t + (w1 - 1) // 2 GROUP BY a.series_id, a.t, w1 HAVING count(*) = w1),
 r2 AS (SELECT a.series_id, a.t, avg(b.value) m FROM sup_prep a JOIN n USING (series_id)
   JOIN sup_prep b ON b.series_id = a.series_id AND b.t BETWEEN a.t - (w2 - 1 - (w2 - 1) // 2) AND a.t + (w2 - 1) // 2 GROUP BY a.series_id, a.t, w2 HAVING count(*) = w2)
-SELECT r1.series_id, r1.t, round(abs(r1.m - r2.m), 4) AS size FROM r1 JOIN r2 USING (series_id, t) JOIN n USING (series_id) WHERE abs(r1.m - r2.m) > sd""")
+SELECT r1.series_id, r1.t, round(abs(r1.m - r2.m), 7) AS size FROM r1 JOIN r2 USING (series_id, t) JOIN n USING (series_id) WHERE abs(r1.m - r2.m) > sd""")
 def rolling_mean_points(spark, d):
-    return A.change_points(P.supplier_prep(spark, d), "rolling_mean").select("series_id", "t", *_r("size", digits=4))
+    return A.change_points(P.supplier_prep(spark, d), "rolling_mean").select("series_id", "t", *_r("size", digits=7))
 
 
 @query("rolling_variance_points", """
@@ -198,15 +198,15 @@ WITH n AS (SELECT series_id, greatest(10, count(*) // 4) w, stddev_samp(value) s
 r AS (SELECT a.series_id, a.t, var_samp(b.value) v FROM sup_prep a JOIN n USING (series_id)
   JOIN sup_prep b ON b.series_id = a.series_id AND b.t BETWEEN a.t - (w - 1 - (w - 1) // 2) AND a.t + (w - 1) // 2 GROUP BY a.series_id, a.t, w HAVING count(*) = w),
 m AS (SELECT series_id, avg(v) mv FROM r GROUP BY 1)
-SELECT r.series_id, r.t, round(v, 3) AS size FROM r JOIN m USING (series_id) JOIN n USING (series_id) WHERE v > mv + 0.1 * sd""")
+SELECT r.series_id, r.t, round(v, 6) AS size FROM r JOIN m USING (series_id) JOIN n USING (series_id) WHERE v > mv + 0.1 * sd""")
 def rolling_variance_points(spark, d):
-    return A.change_points(P.supplier_prep(spark, d), "fft").select("series_id", "t", *_r("size", digits=3))
+    return A.change_points(P.supplier_prep(spark, d), "fft").select("series_id", "t", *_r("size", digits=6))
 
 
 @query("cusum_split", """
-SELECT series_id, round(max(abs(cusum)), 4) AS max_abs_cusum, arg_max(t, abs(cusum)) AS split_at FROM sup_cusum GROUP BY 1""")
+SELECT series_id, round(max(abs(cusum)), 6) AS max_abs_cusum, arg_max(t, abs(cusum)) AS split_at FROM sup_cusum GROUP BY 1""")
 def cusum_split(spark, d):
-    return A.cusum_split(P.supplier_prep(spark, d)).select("series_id", *_r("max_abs_cusum", digits=4), "split_at")
+    return A.cusum_split(P.supplier_prep(spark, d)).select("series_id", *_r("max_abs_cusum", digits=6), "split_at")
 
 
 @query("variance_breaks", """
@@ -227,10 +227,10 @@ def variance_breaks(spark, d):
 @query("hourly_cusum_split", """
 WITH c AS (SELECT series_id, t, sum(value - mu) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS c
   FROM (SELECT *, avg(value) OVER (PARTITION BY series_id) AS mu FROM hr_prep))
-SELECT series_id, round(max(abs(c)), 3) AS max_abs_cusum, arg_max(t, abs(c)) AS split_at FROM c GROUP BY 1""")
+SELECT series_id, round(max(abs(c)), 6) AS max_abs_cusum, arg_max(t, abs(c)) AS split_at FROM c GROUP BY 1""")
 def hourly_cusum_split(spark, d):
     out = A.cusum_split(P.hour_prep(spark, d, 128), block=128)
-    return out.select("series_id", *_r("max_abs_cusum", digits=3), "split_at")
+    return out.select("series_id", *_r("max_abs_cusum", digits=6), "split_at")
 
 
 @query("hourly_acf", """

@@ -46,12 +46,12 @@ def boxcox_forward(spark, d):
 
 @query("transform_roundtrip", """
 WITH q AS (SELECT series_id, quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3 FROM sup_prep GROUP BY 1)
-SELECT series_id, t, round(least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 3) AS back FROM sup_prep JOIN q USING (series_id)""")
+SELECT series_id, t, round(least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 6) AS back FROM sup_prep JOIN q USING (series_id)""")
 def transform_roundtrip(spark, d):
     panel = P.supplier_prep(spark, d)
     params = X.fit_transforms(panel, iqr_clip=True, with_box_cox=True)
     done = X.apply_transforms(panel, params).withColumn("back", F.col("transformed"))
-    return X.invert_transforms(done, params, "back").select("series_id", "t", *_r("back", digits=3))
+    return X.invert_transforms(done, params, "back").select("series_id", "t", *_r("back", digits=6))
 
 
 @query("yeojohnson_lambda", """
@@ -88,11 +88,11 @@ def smearing_inverse(spark, d):
 @query("remediation", """
 WITH q AS (SELECT series_id, quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3, avg(value) mu, stddev_samp(value) sd FROM sup_prep GROUP BY 1)
 SELECT series_id, t, round(CASE CAST(series_id AS INTEGER) % 3 WHEN 0 THEN least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1))
-  WHEN 1 THEN least(greatest(value, mu - 3 * sd), mu + 3 * sd) ELSE value END, 4) AS value FROM sup_prep JOIN q USING (series_id)""")
+  WHEN 1 THEN least(greatest(value, mu - 3 * sd), mu + 3 * sd) ELSE value END, 7) AS value FROM sup_prep JOIN q USING (series_id)""")
 def remediation(spark, d):
     k = F.pmod(F.col("series_id").cast("int"), F.lit(3))
     choice = F.when(k == 0, "iqr_clip").when(k == 1, "zscore_clip").otherwise("none")
-    return X.remediate(P.supplier_prep(spark, d), choice).select("series_id", "t", *_r("value", digits=4))
+    return X.remediate(P.supplier_prep(spark, d), choice).select("series_id", "t", *_r("value", digits=7))
 
 
 @query("theil_sen", """

@@ -274,12 +274,12 @@ def seasonal_path(spark, d):
 
 @query("forecast_pattern", """
 WITH s AS (SELECT *, yhat - lag(yhat) OVER (PARTITION BY series_id ORDER BY h) AS d FROM sup_path)
-SELECT series_id, round(arg_min(yhat, h), 4) AS first_value, round(arg_max(yhat, h), 4) AS last_value, round((arg_max(yhat, h) - arg_min(yhat, h)) / abs(arg_min(yhat, h)) * 100, 1) AS pct_change,
+SELECT series_id, round(arg_min(yhat, h), 7) AS first_value, round(arg_max(yhat, h), 7) AS last_value, round((arg_max(yhat, h) - arg_min(yhat, h)) / abs(arg_min(yhat, h)) * 100, 1) AS pct_change,
   CASE WHEN bool_and(d >= -1e-9) THEN 'Upward' WHEN bool_and(d <= 1e-9) THEN 'Downward' ELSE 'Seasonal / variable' END AS pattern,
-  round(max(yhat), 4) AS peak_value, arg_max(ts, yhat) AS peak_ts FROM s GROUP BY 1""")
+  round(max(yhat), 7) AS peak_value, arg_max(ts, yhat) AS peak_ts FROM s GROUP BY 1""")
 def forecast_pattern(spark, d):
     return G.path_summary(seasonal_path(spark, d)).select(
-        "series_id", *_r("first_value", "last_value"), F.round("pct_change", 1).alias("pct_change"), "pattern", *_r("peak_value"), "peak_ts")
+        "series_id", *_r("first_value", "last_value", digits=7), F.round("pct_change", 1).alias("pct_change"), "pattern", *_r("peak_value", digits=7), "peak_ts")
 
 
 @query("dashboard")
@@ -295,17 +295,17 @@ def narratives(spark, d):
 
 
 @query("chart_ribbon", """
-SELECT series_id, ts, 'history' AS kind, round(value, 4) AS value FROM sup_prep UNION ALL SELECT series_id, ts, 'forecast', round(yhat, 4) FROM sup_path""")
+SELECT series_id, ts, 'history' AS kind, round(value, 7) AS value FROM sup_prep UNION ALL SELECT series_id, ts, 'forecast', round(yhat, 7) FROM sup_path""")
 def chart_ribbon(spark, d):
     history = P.supplier_prep(spark, d).select("series_id", "ts", F.lit("history").alias("kind"), "value")
     future = seasonal_path(spark, d).select("series_id", "ts", F.lit("forecast").alias("kind"), F.col("yhat").alias("value"))
-    return history.unionByName(future).select("series_id", "ts", "kind", *_r("value"))
+    return history.unionByName(future).select("series_id", "ts", "kind", *_r("value", digits=7))
 
 
 @query("chart_decomposition", """
-SELECT series_id, t, component, round(value, 3) AS value FROM (UNPIVOT (SELECT series_id, t, value AS observed, trend, seasonal, resid AS residual FROM sup_dec) ON observed, trend, seasonal, residual INTO NAME component VALUE value)""")
+SELECT series_id, t, component, round(value, 6) AS value FROM (UNPIVOT (SELECT series_id, t, value AS observed, trend, seasonal, resid AS residual FROM sup_dec) ON observed, trend, seasonal, residual INTO NAME component VALUE value)""")
 def chart_decomposition(spark, d):
     parts = DE.classical_decompose(P.supplier_prep(spark, d), 12)
     wide = parts.select("series_id", "t", F.col("value").alias("observed"), "trend", "seasonal", F.col("resid").alias("residual"))
     return wide.unpivot(["series_id", "t"], ["observed", "trend", "seasonal", "residual"], "component", "value").select(
-        "series_id", "t", "component", *_r("value", digits=3))
+        "series_id", "t", "component", *_r("value", digits=6))

@@ -16,7 +16,7 @@ RECOMMENDED = {
 }
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 8, stage_dir: str | None = None) -> SparkSession:
     """Session for tests and benches on one machine."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -28,6 +28,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)
+    if stage_dir:
+        builder = builder.config("spark.checkpoint.dir", stage_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -119,9 +119,9 @@ def accept_files(files: DataFrame) -> DataFrame:
 def signature_flags(files: DataFrame, content: str = "content") -> DataFrame:
     """Workbook signature and UTF-8 validity of the first bytes."""
     head = F.substring(F.col(content), 1, 4)
-    return files.withColumns({
-        "is_zip": F.hex(head) == XLSX_MAGIC,
-        "is_utf8": F.is_valid_utf8(F.decode(F.substring(F.col(content), 1, 4096), F.lit("UTF-8")))})
+    # the sample may end inside a character, so up to three bytes less are tried too
+    cuts = [F.is_valid_utf8(F.substring(F.col(content), 1, 4096 - k).cast("string")) for k in range(4)]
+    return files.withColumns({"is_zip": F.hex(head) == XLSX_MAGIC, "is_utf8": cuts[0] | cuts[1] | cuts[2] | cuts[3]})
 
 
 def detect_date_column(df: DataFrame) -> str | None:
