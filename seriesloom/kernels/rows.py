@@ -33,8 +33,9 @@ def pack(df: DataFrame, keys: Sequence[str], value: str = "value", carry: Sequen
 def run_rows(df: DataFrame, fn: Callable[[np.ndarray, dict], dict], schema: str, keep: Sequence[str]) -> DataFrame:
     """Map ``fn(x, row)`` over packed rows; output columns are ``keep`` plus ``schema``.
 
-    The rows are spread over the configured number of partitions: each row may
-    cost milliseconds of solver time, so size-based coalescing would serialise it.
+    The rows are dealt evenly over the configured number of partitions: each row
+    may cost milliseconds of solver time, so coalescing by bytes would serialise
+    it, and a repartition by the grouping key would be planned away.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = [df.schema[c] for c in keep]
@@ -50,5 +51,4 @@ def run_rows(df: DataFrame, fn: Callable[[np.ndarray, dict], dict], schema: str,
                 out.append([row[k] for k in keep] + [got.get(n) for n in extra.fieldNames()])
             yield pd.DataFrame(out, columns=names, dtype=object)
 
-    spread = df.repartition(parts, *keep) if keep else df.repartition(parts)
-    return spread.mapInPandas(apply, T.StructType(kept + extra.fields))
+    return df.repartition(parts).mapInPandas(apply, T.StructType(kept + extra.fields))

