@@ -157,3 +157,13 @@ def bootstrap_intervals(errors: DataFrame, keys: Sequence[str] = ("series_id", "
     for m in ("rmse", "mae", "mase"):
         out += [F.percentile(m, F.lit(0.025)).alias(f"{m}_lo"), F.percentile(m, F.lit(0.975)).alias(f"{m}_hi")]
     return rows.groupBy(*keys).agg(*out)
+
+
+def merge_metrics(found: DataFrame, existing: DataFrame, keys: Sequence[str] = ("series_id", "model")) -> DataFrame:
+    """Keep every found row and add existing rows for candidates that have none."""
+    return found.unionByName(existing.join(found.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+
+
+def with_backtest_only(rows: DataFrame, backtests: DataFrame, keys: Sequence[str] = ("series_id", "model")) -> DataFrame:
+    """Candidates that were actually backtested."""
+    return rows.join(backtests.select(*keys).distinct(), list(keys), "left_semi")

@@ -375,3 +375,56 @@ def narratives(rows: DataFrame) -> DataFrame:
     }
     table = F.array(*[F.struct(F.lit(k).alias("section"), v.alias("text")) for k, v in items.items()])
     return rows.select("series_id", F.inline(table))
+
+
+def statistical_audit(rows: DataFrame) -> DataFrame:
+    """Verdict, concerns (critical and warning issues) and follow-ups per series."""
+    concerns = F.transform(F.filter("flags", lambda f: f["severity"].isin("critical", "warning")), lambda f: f["issue"])
+    follow = F.transform(F.filter("flags", lambda f: F.length(f["recommendation"]) > 0), lambda f: f["recommendation"])
+    default = F.array(F.lit("Monitor forecast performance against future actuals."))
+    return rows.select("series_id", "verdict", concerns.alias("key_concerns"),
+                       F.when(F.size(follow) > 0, follow).otherwise(default).alias("follow_up"))
+
+
+def explainability(rows: DataFrame) -> DataFrame:
+    """Findings with their evidence, long form."""
+    c = F.col
+    item = lambda cond, code, evid: F.when(cond, F.struct(F.lit(code).alias("finding"), evid.alias("evidence")))
+    items = present(
+        item(c("seasonal_period") > 1, "seasonal_pattern", F.format_string("Seasonal period: %d", c("seasonal_period"))),
+        item(c("has_trend") & (c("trend_slope") > 0), "upward_trend", F.format_string("Trend slope: %.6f", c("trend_slope"))),
+        item(c("has_trend") & (c("trend_slope") <= 0), "downward_trend", F.format_string("Trend slope: %.6f", c("trend_slope"))),
+        item(c("mape") < 10, "low_validation_error", F.format_string("MAPE: %.2f%%", c("mape"))),
+        item(c("is_uncorrelated"), "residuals_acceptable", F.lit("no significant autocorrelation")),
+        item(~c("is_uncorrelated"), "residuals_need_monitoring", F.concat(F.lit("Ljung-Box p: "), label_or_na(c("ljung_box_p")))),
+        item(F.lit(True), "confidence", F.format_string("Confidence score: %d/100", c("score"))),
+    )
+    return rows.select("series_id", F.posexplode(items).alias("pos", "_i")).select("series_id", "pos", "_i.*")
+
+
+def executive_summary(rows: DataFrame, r: dict = RULES) -> DataFrame:
+    """Outlook, growth, confidence, primary risk and action codes. Expects scored evidence with the path summary."""
+    c = F.col
+    weak = F.coalesce(holdout_ratio(c("final_rmse"), c("rmse")) >= r["holdout_ratio"], F.lit(False))
+    risk = (F.when(c("verdict") == "fail", "critical_review").when(c("quality") == "Poor", "poor_quality")
+            .when(c("mape") > 20, "high_error").otherwise("horizon_decay"))
+    action = (F.when(weak, "monitor_closely").when(c("verdict").isin("warn", "fail"), "review_audit").otherwise("use_near_term"))
+    return rows.select(
+        "series_id", F.lower("pattern").alias("outlook"), F.format_string("%+.1f%%", c("pct_change")).alias("expected_growth"),
+        F.format_string("%d/100 — %s", c("score"), c("confidence")).alias("confidence_level"),
+        risk.alias("primary_risk"), action.alias("recommended_action"))
+
+
+def report_metadata(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Provenance of a report: models evaluated, choice, frequency, quality and size."""
+    seen = models.groupBy("series_id").agg(F.array_sort(F.collect_set("model")).alias("models_evaluated"))
+    return rows.join(seen, "series_id").select(
+        "series_id", "models_evaluated", F.col("model").alias("selected_model"),
+        F.coalesce("frequency", F.lit("unknown")).alias("dataset_frequency"), F.col("quality").alias("data_quality_rating"), "row_count")
+
+
+def appendix(rows: DataFrame) -> DataFrame:
+    """Raw metrics map; unavailable values stay NULL."""
+    names = {"rmse": 4, "mae": 4, "mape": 2, "trend_slope": 6, "outlier_ratio": 4, "final_rmse": 4}
+    pairs = [x for k, d in names.items() for x in (F.lit(k), F.round(F.col(k), d))]
+    return rows.select("series_id", F.create_map(*pairs).alias("raw_metrics"))

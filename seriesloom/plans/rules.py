@@ -309,3 +309,74 @@ def chart_decomposition(spark, d):
     wide = parts.select("series_id", "t", F.col("value").alias("observed"), "trend", "seasonal", F.col("resid").alias("residual"))
     return wide.unpivot(["series_id", "t"], ["observed", "trend", "seasonal", "residual"], "component", "value").select(
         "series_id", "t", "component", *_r("value", digits=6))
+
+
+def _with_path(spark, d):
+    return scored(spark, d).join(G.path_summary(seasonal_path(spark, d)), "series_id")
+
+
+@query("executive_summary", """
+WITH p AS (SELECT series_id, (arg_max(yhat, h) - arg_min(yhat, h)) / abs(arg_min(yhat, h)) * 100 AS chg FROM sup_path GROUP BY 1)
+SELECT series_id, CASE WHEN quality = 'Poor' THEN 'poor_quality' WHEN mape > 20 THEN 'high_error' ELSE 'horizon_decay' END AS primary_risk,
+  CASE WHEN final_rmse / rmse >= 1.25 THEN 'monitor_closely' WHEN verdict = 'warn' THEN 'review_audit' ELSE 'use_near_term' END AS recommended_action,
+  score || '/100 — ' || CASE WHEN score >= 75 THEN 'High' WHEN score >= 50 THEN 'Medium' ELSE 'Low' END AS confidence_level
+FROM rule_sc JOIN p USING (series_id)""")
+def executive_summary(spark, d):
+    return G.executive_summary(_with_path(spark, d)).select("series_id", "primary_risk", "recommended_action", "confidence_level")
+
+
+@query("statistical_audit", """
+SELECT series_id, verdict, (SELECT count(f) FROM rule_fl l WHERE l.series_id = e.series_id) AS n_concerns FROM rule_vd e""")
+def statistical_audit(spark, d):
+    return G.statistical_audit(reviewed(spark, d)).select("series_id", "verdict", F.size("key_concerns").cast("long").alias("n_concerns"))
+
+
+@query("explainability", """
+SELECT * FROM (SELECT series_id, unnest([CASE WHEN seasonal_period > 1 THEN 'seasonal_pattern' END, CASE WHEN has_trend AND trend_slope > 0 THEN 'upward_trend' END,
+  CASE WHEN has_trend AND trend_slope <= 0 THEN 'downward_trend' END, CASE WHEN mape < 10 THEN 'low_validation_error' END,
+  CASE WHEN is_uncorrelated THEN 'residuals_acceptable' ELSE 'residuals_need_monitoring' END, 'confidence']) AS finding FROM rule_sc) WHERE finding IS NOT NULL""")
+def explainability(spark, d):
+    return G.explainability(scored(spark, d)).select("series_id", "finding")
+
+
+@query("report_appendix", """
+SELECT series_id, round(rmse, 4) AS rmse, round(mape, 2) AS mape, round(trend_slope, 6) AS trend_slope, round(outlier_ratio, 4) AS outlier_ratio FROM rule_ev""")
+def report_appendix(spark, d):
+    raw = G.appendix(evidence(spark, d))
+    return raw.select("series_id", *[F.col("raw_metrics")[k].alias(k) for k in ("rmse", "mape", "trend_slope", "outlier_ratio")])
+
+
+@query("report_metadata", """
+SELECT series_id, 'Drift,Mean Forecast,Naive,Seasonal Naive' AS models_evaluated, model AS selected_model, 'MS' AS dataset_frequency, quality AS data_quality_rating, row_count FROM rule_vd""")
+def report_metadata(spark, d):
+    bt = supplier_backtest(spark, d)
+    out = G.report_metadata(scored(spark, d), bt.baselines().select("series_id", "model"))
+    return out.withColumn("models_evaluated", F.array_join("models_evaluated", ","))
+
+
+@query("merged_metrics", """
+SELECT series_id, model, round(rmse, 5) AS rmse FROM sup_pool WHERE model IN ('Naive', 'Drift')
+UNION ALL SELECT series_id, model, round(sqrt(avg((y - yhat) ** 2)), 5) FROM sup_err WHERE kind = 'final' AND y IS NOT NULL AND model NOT IN ('Naive', 'Drift') GROUP BY 1, 2""")
+def merged_metrics(spark, d):
+    bt = supplier_backtest(spark, d)
+    preds = stage(bt.baselines(), "predictions")
+    found = M.forecast_metrics(bt.errors(preds.filter(F.col("model").isin("Naive", "Drift"))), ["series_id", "model"])
+    existing = M.forecast_metrics(bt.errors(preds, "final"), ["series_id", "model"])
+    return M.merge_metrics(found, existing).select("series_id", "model", *_r("rmse", digits=5))
+
+
+@query("unsupported_horizons", """
+SELECT series_id, coalesce(array_to_string(list_transform(range(hz + 1, 25), lambda x: CAST(x AS VARCHAR)), ','), '') AS steps FROM sup_size""")
+def unsupported_horizons(spark, d):
+    from seriesloom.operators.folds import unsupported_horizons as missing_steps
+
+    plan = supplier_backtest(spark, d).folds.groupBy("series_id").agg(F.min("horizon").alias("hz"))
+    steps = missing_steps(F.lit(24).cast("long"), F.col("hz"))
+    return plan.select("series_id", F.array_join(steps.cast("array<string>"), ",").alias("steps"))
+
+
+@query("statistical_profile")
+def statistical_profile(spark, d):
+    from seriesloom.operators.profile import profile
+
+    return profile(P.supplier_prep(spark, d), "MS", 12)
