@@ -338,7 +338,7 @@ WITH p0 AS (SELECT series_id, t, value AS raw, coalesce(value, v0 + (v1 - v0) *
 SELECT p0.series_id, p0.t, round(coalesce(p0.raw, dec.trend + dec.seasonal), 6) AS value
 FROM p0 JOIN dec ON dec.series_id = p0.series_id AND dec.t = p0.t""")
 def impute_seasonal(spark, d):
-    out = decompose.impute_seasonal(grid.reindex(P.supplier_raw(spark, d), "MS"), 12)
+    out = decompose.impute_seasonal(P.gridded(P.supplier_raw(spark, d), "MS"), 12)
     return out.select("series_id", "t", *_r("value", digits=6))
 
 
