@@ -21,11 +21,8 @@ def require_columns(df: DataFrame, date_col: str, value_col: str) -> None:
 def to_stamp(df: DataFrame, name: str) -> Column:
     """Coercing timestamp cast: unparsable text becomes NULL."""
     if isinstance(df.schema[name].dataType, T.StringType):
-        text = F.trim(F.col(name))
-        return F.coalesce(
-            F.try_to_timestamp(text).cast("timestamp_ntz"),
-            F.try_to_timestamp(text, F.lit("yyyy-MM")).cast("timestamp_ntz"),
-        )
+        # zone-less parse; accepts yyyy-MM and full stamps alike
+        return F.trim(F.col(name)).try_cast("timestamp_ntz")
     return F.col(name).cast("timestamp_ntz")
 
 
