@@ -6,20 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.arrays import slices
 from seriesloom.llm.tables import bounded_batches
 
-#: Tells rows with one doc_id and different texts apart.
-TEXT_KEY = F.xxhash64(F.coalesce("text", F.lit("")))
+
+def text_key() -> Column:
+    """Tells rows with one doc_id and different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the array ``spans`` of its rows (start, stop) in ``spans`` (doc_id, tk, start, stop)."""
     grouped = spans.groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return docs.withColumn("_k", TEXT_KEY).join(grouped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_tk")), "left").drop("_id", "_tk", "_k")
+    return docs.withColumn("_k", text_key()).join(grouped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_tk")), "left").drop("_id", "_tk", "_k")
 
 
 def cut(docs: DataFrame, least: int = 1) -> DataFrame:

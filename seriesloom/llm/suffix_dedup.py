@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import filters
 from seriesloom.llm.arrays import Powers, SpanHash, Texts, buffers, expand, mix, seeded, slices
-from seriesloom.llm.cutting import TEXT_KEY, cut, with_spans
+from seriesloom.llm.cutting import cut, text_key, with_spans
 from seriesloom.llm.tables import bounded_batches
 from seriesloom.staging import stage
 
@@ -102,7 +102,7 @@ def window_runs(docs: DataFrame, member: np.ndarray, length: int, q: int) -> Dat
                  pa.array((first - texts.offsets[row]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array(around, pa.binary())],
                 names=["aid", "one", "two", "doc_id", "tk", "first", "windows", "around"])
 
-    return bounded_batches(docs.select("doc_id", TEXT_KEY.alias("tk"), "text")).mapInArrow(
+    return bounded_batches(docs.select("doc_id", text_key().alias("tk"), "text")).mapInArrow(
         work, "aid long, one long, two long, doc_id long, tk long, first int, windows int, around binary")
 
 
