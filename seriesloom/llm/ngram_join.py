@@ -106,7 +106,9 @@ def signature_blocks(docs: DataFrame, size: int, bands: Bands, frequent: np.ndar
                     who, many = np.unique(owner[a:b], return_counts=True)
                     head = np.array([len(who), b - a, len(sketch[who[0]])], np.int64)
                     parts.append(int(part[a]))
-                    blobs.append(b"".join([head.tobytes(), sizes[who].tobytes(), many.astype(np.int64).tobytes(), ids[a:b].tobytes(),
+                    # six bytes of a signature are enough: sets that meet by chance are screened like all others
+                    short = ids[a:b].view(np.uint8).reshape(-1, 8)[:, 2:]
+                    blobs.append(b"".join([head.tobytes(), sizes[who].astype(np.int32).tobytes(), many.astype(np.int32).tobytes(), short.tobytes(),
                                            names[who].tobytes(), *(sketch[w].tobytes() for w in who)]))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
 
@@ -148,12 +150,14 @@ def _meet(blocks: list[bytes], share: Fraction) -> tuple[np.ndarray, np.ndarray,
     for blob in blocks:
         n, total, width = np.frombuffer(blob, np.int64, 3).tolist()
         at = 24
-        for out, dtype, count in ((sizes, np.int64, n), (many, np.int64, n), (ids, np.uint64, total), (names, np.uint8, 16 * n), (sketches, np.uint8, width * n)):
+        for out, dtype, count in ((sizes, np.int32, n), (many, np.int32, n), (ids, np.uint8, 6 * total), (names, np.uint8, 16 * n), (sketches, np.uint8, width * n)):
             out.append(np.frombuffer(blob, dtype, count, at))
             at += count * np.dtype(dtype).itemsize
     sketch = np.concatenate([s.reshape(-1, len(s) // len(z)) for s, z in zip(sketches, sizes, strict=True)])
     names = np.concatenate(names).reshape(-1, 16)
-    size, owner, ids = np.concatenate(sizes), np.repeat(np.arange(len(names)), np.concatenate(many)), np.concatenate(ids)
+    size, owner = np.concatenate(sizes).astype(np.int64), np.repeat(np.arange(len(names)), np.concatenate(many))
+    short, ids = np.concatenate(ids).reshape(-1, 6), np.zeros(len(owner), np.uint64)
+    ids.view(np.uint8).reshape(-1, 8)[:, 2:] = short
     # the same set can come from several tasks
     _, first, same = np.unique(names.view("V16").ravel(), return_index=True, return_inverse=True)
     owner = first[same[owner]]
