@@ -24,7 +24,7 @@ from seriesloom.staging import stage
 
 MEMORY = 32
 REACH = 24
-LEAST_CHUNK = 32
+LEAST_CHUNK = REACH
 LEAST_RUN = 128
 _GEAR = np.append(mix(seeded(256, 71)) >> np.uint64(32), 0).astype(np.uint32)
 _ONE, _TWO = seeded(256, 72), seeded(256, 73)
@@ -97,7 +97,7 @@ def substring_dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     """Remove repeated chunks from texts.
 
     Adds n_bytes, n_removed, n_spans and kept (bytes of the remaining text) in
-    place of text; other columns stay. Only chunks of 32 bytes or more count,
+    place of text; other columns stay. Only chunks of 24 bytes or more count,
     and only runs of neighbouring copies of ``least_run`` bytes or more go. Null
     texts have kept null. Rows that repeat a doc_id and its text count once, so
     both are treated alike. A null doc_id comes before all others.
