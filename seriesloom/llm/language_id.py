@@ -27,11 +27,12 @@ UNKNOWN = "und"
 
 
 class Model:
-    """Log frequencies of words and n-grams; rows are aligned with ``langs``."""
+    """Log frequencies of words and n-grams: rows of one matrix, a column per language."""
 
     def __init__(self, counts: dict[str, dict[str, int]], totals: dict[str, int]):
         self.langs = sorted(counts)
-        self.words = self._table([counts[x] for x in self.langs], [totals[x] for x in self.langs])
+        blocks: list[np.ndarray] = []
+        self.words = self._rows([counts[x] for x in self.langs], [totals[x] for x in self.langs], blocks, 1)
         self.grams = []
         for n in range(1, LONGEST + 1):
             seen = []
@@ -42,27 +43,44 @@ class Model:
                     for i in range(len(padded) - n + 1):
                         c[padded[i : i + n]] += k
                 seen.append(c)
-            self.grams.append(self._table(seen, [sum(c.values()) for c in seen]))
+            self.grams.append(self._rows(seen, [sum(c.values()) for c in seen], blocks, LONGEST))
+        self.matrix = np.concatenate([*blocks, np.zeros((1, len(self.langs)))])
 
     @staticmethod
-    def _table(counts: list, totals: list[int]) -> dict[str, np.ndarray]:
-        keys = set().union(*counts) if counts else set()
-        base = np.log([t + len(keys) + 1 for t in totals])
-        return {k: np.log([c.get(k, 0) + 0.5 for c in counts]) - base for k in sorted(keys)}
-
-    def score(self, word: str) -> np.ndarray:
+    def _rows(counts: list, totals: list[int], blocks: list[np.ndarray], weight: int) -> dict[str, int]:
+        keys = sorted(set().union(*counts)) if counts else []
+        first = sum(map(len, blocks))
+        table = np.array([[c.get(k, 0) + 0.5 for c in counts] for k in keys], np.float64).reshape(len(keys), len(counts))
+        blocks.append((np.log(table) - np.log([t + len(keys) + 1 for t in totals])) / weight)
+        return {k: first + i for i, k in enumerate(keys)}
+
+    def rows(self, word: str) -> list[int]:
+        """Rows whose sum is the score of a word; the last row of the matrix is zero."""
         known = self.words.get(word)
         if known is not None:
-            return known
-        padded, total, i = f"^{word}$", np.zeros(len(self.langs)), 0
-        while i < len(padded):
-            for n in range(min(LONGEST, len(padded) - i), 0, -1):
-                found = self.grams[n - 1].get(padded[i : i + n])
-                if found is not None:
-                    total = total + found / LONGEST
-                    break
-            i += 1
-        return total
+            return [known]
+        padded, out = f"^{word}$", []
+        longest, *shorter = reversed(self.grams)
+        for i in range(len(padded)):
+            found = longest.get(padded[i : i + LONGEST]) if i + LONGEST <= len(padded) else None
+            if found is None:
+                for n, table in zip(range(LONGEST - 1, 0, -1), shorter, strict=True):
+                    found = table.get(padded[i : i + n]) if i + n <= len(padded) else None
+                    if found is not None:
+                        break
+                else:
+                    continue
+            out.append(found)
+        return out or [len(self.matrix) - 1]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Score of each word in each language."""
+        if not words:
+            return np.zeros((0, len(self.langs)))
+        rows = [self.rows(w) for w in words]
+        counts = np.array([len(r) for r in rows], np.int64)
+        flat = np.fromiter((x for r in rows for x in r), np.int64, int(counts.sum()))
+        return np.add.reduceat(self.matrix[flat], np.cumsum(counts) - counts)
 
 
 def fit(labelled: DataFrame, known_words: int = KNOWN_WORDS) -> Model:
@@ -92,22 +110,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, powers, cache = shared.value, Powers(), {}
+        model, powers = shared.value, Powers()
+        number, table = {}, np.zeros((0, len(model.langs)))
         for texts in slices(batches):
             row, codes, found = letter_words(texts, powers)
             n = np.bincount(row, minlength=len(texts))
             names, best = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if model.langs and len(found):
-                if len(cache) > FLUSH:
-                    cache = {}
-                table = []
-                for word in found:
-                    s = cache.get(word)
-                    if s is None:
-                        s = cache[word] = model.score(word)
-                    table.append(s)
-                table = np.array(table)
-                total = np.stack([np.bincount(row, table[codes, i], len(texts)) for i in range(len(model.langs))], 1)
+                if len(number) > FLUSH:
+                    number, table = {}, table[:0]
+                new = [w for w in found if w not in number]
+                number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+                table = np.concatenate([table, model.scores(new)])
+                mine = table[[number[w] for w in found]]
+                total = np.stack([np.bincount(row, mine[codes, i], len(texts)) for i in range(len(model.langs))], 1)
                 total = total / np.sqrt(np.maximum(n, 1))[:, None]
                 share = np.exp(total - total.max(1, keepdims=True))
                 share /= share.sum(1, keepdims=True)
