@@ -49,8 +49,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, least: i
         key = symbols[inside] << 32 | symbols[inside + 1]
         codes, pairs = pd.factorize(key)
         counts = np.bincount(codes)
-        order = np.lexsort((pairs, -counts))
-        order = order[counts[order] >= least]
+        order = np.flatnonzero(counts >= least)
+        order = order[np.lexsort((pairs[order], -counts[order]))]
         if not len(order):
             break
         rank = np.full(len(pairs), len(pairs), np.int64)
