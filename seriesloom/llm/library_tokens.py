@@ -13,16 +13,20 @@ _PRINTED = np.zeros(256, bool)
 _PRINTED[33:127] = True
 _MARK = _PRINTED & ~_LETTER
 _MARK[ord("0") : ord("9") + 1] = _MARK[ord("'")] = False
+# byte-level models write a byte as a character: printed Latin-1 as it is, the others as U+0100 onwards
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SHOWN = {b: 256 + i for i, b in enumerate(_OTHERS)}
 
 
 class LibraryEncoder:
     """Encodes slices of texts with a tokenizer file.
 
-    Texts are cut only where both kinds of file always split: between an ASCII
-    letter and an ASCII mark (not the apostrophe), and at white space. ``blank``
+    Texts are cut only where both kinds of file always split: between a letter
+    of Latin-1 and an ASCII mark (not the apostrophe), and at white space. ``blank``
     says what happens to that. "dropped": stretches lie between ASCII white space,
-    in lower case. "kept": a stretch starts at a blank between two printed ASCII
-    characters. What follows a cut does not depend on what came before it.
+    in lower case. "kept": a stretch starts at a blank between two printed
+    characters of ASCII or U+00C0 to U+00FF. What follows a cut does not depend
+    on what came before it.
     """
 
     CHUNK = 4096
@@ -37,10 +41,16 @@ class LibraryEncoder:
 
     def stretches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.zeros(len(data) + 1, bool)
-        letter, mark = _LETTER[data], _MARK[data]
+        mark, high = _MARK[data], data == 0xC3
+        # U+00C0 to U+00FF are 0xC3 and one more byte; two of them are no letters
+        pair = high.copy()
+        pair[:-1] &= (data[1:] != 0x97) & (data[1:] != 0xB7)
+        letter = _LETTER[data] | pair
+        letter[1:] |= pair[:-1]
         cut[1:-1] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
         if not self.dropped:
-            printed = _PRINTED[data]
+            printed = _PRINTED[data] | high
+            printed[1:] |= high[:-1]
             cut[1 : max(len(data) - 1, 1)] |= (data[1:-1] == 32) & printed[:-2] & printed[2:] if len(data) > 2 else False
             cut[offsets] = True
             start = np.flatnonzero(cut[:-1])
@@ -50,14 +60,16 @@ class LibraryEncoder:
         return start, end
 
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of ASCII letters go straight to the file's model; for others the whole tokenizer runs."""
+        """Words of Latin-1 letters go straight to the file's model; for others the whole tokenizer runs."""
         out: list[list[int] | None] = [None] * len(pieces)
         model, rest = self.tokenizer.model, []
         for i, piece in enumerate(pieces):
-            word = piece[1:] if not self.dropped and piece[:1] == b" " else piece
-            if word.isalpha() and word.isascii():
-                text = word.decode()
-                out[i] = [t.id for t in model.tokenize(text if word is piece else "Ġ" + text)]
+            text = piece.decode()
+            blank = not self.dropped and text[:1] == " "
+            word = text[1:] if blank else text
+            if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                shown = word if word.isascii() else (word.lower() if self.dropped else word).encode().decode("latin-1").translate(_SHOWN)
+                out[i] = [t.id for t in model.tokenize("Ġ" + shown if blank else shown)]
             else:
                 rest.append(i)
         texts = [pieces[i].decode() for i in rest]
