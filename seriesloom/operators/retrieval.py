@@ -60,9 +60,9 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int = 3, vector: str
     checked = packed.select(F.when(
         F.size("q") > MAX_QUERIES, F.raise_error(F.lit("Too many query vectors; run them in batches."))).otherwise(F.col("q")))
     rows = corpus.withColumn("_n", F.sqrt(_dot(F.col(vector), F.col(vector)))).withColumn("_q", F.explode(checked.scalar()))
-    score = _dot(F.col(vector), F.col("_q.v")) / (F.col("_n") * F.col("_q.n"))
+    score = F.try_divide(_dot(F.col(vector), F.col("_q.v")), F.col("_n") * F.col("_q.n"))
     scored = rows.select(F.col("_q.query_id").alias("query_id"), key, score.alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(key))
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -110,12 +110,12 @@ def savgol(df: DataFrame, window: int = 11, degree: int = 2, keys: Sequence[str]
     return near.withColumn("smoothed", F.coalesce(smoothed, F.col("value"))).drop("_near", "_n")
 
 
-def smooth(df: DataFrame, method: str, **params) -> DataFrame:
-    """Dispatcher: ``ewma`` (span), ``savgol`` (window, degree) or ``none``."""
+def smooth(df: DataFrame, method: str, keys: Sequence[str] = KEYS, **params) -> DataFrame:
+    """Dispatcher: ``ewma`` (span), ``savgol`` (window, degree) or ``none``; each group of ``keys`` on its own."""
     if method == "none":
         return df.withColumn("smoothed", F.col("value"))
     if method == "ewma":
-        return ewm(df, span_alpha(params.get("span", 6)))
+        return ewm(df, span_alpha(params.get("span", 6)), keys)
     if method == "savgol":
-        return savgol(df, params.get("window", 11), params.get("degree", 2))
+        return savgol(df, params.get("window", 11), params.get("degree", 2), keys)
     raise ValueError(f"Unsupported smoothing method: {method}")

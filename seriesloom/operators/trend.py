@@ -21,7 +21,7 @@ def linear_fit(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"),
         F.regr_slope("value", t).alias("slope"), F.regr_intercept("value", t).alias("intercept"),
-        F.regr_r2("value", t).alias("r2"), F.regr_sxx("value", t).alias("sxx"), F.avg(t).alias("t_mean"),
+        F.when(F.regr_syy("value", t) > 0, F.regr_r2("value", t)).otherwise(0.0).alias("r2"), F.regr_sxx("value", t).alias("sxx"), F.avg(t).alias("t_mean"),
     )
 
 
@@ -70,11 +70,11 @@ def trend_hac(df: DataFrame, keys: Sequence[str] = KEYS, block: int | None = Non
                        F.greatest(F.lit(1), F.floor(F.col("n") / 5)), keys, block)
     out = fit.join(lrv, list(keys), "left").select(
         *keys, "n", "slope", F.col("r2").alias("effect_size"), F.sqrt("long_run").alias("hac_se"),
-        (F.col("slope") / F.sqrt("long_run")).alias("z_stat"))
+        F.try_divide("slope", F.sqrt("long_run")).alias("z_stat"))
     out = out.withColumn("p_value", normal_two_sided("z_stat"))
     ok = F.col("n") >= 5
     return out.withColumn("status", F.when(ok, "ok").otherwise("not_estimable")).withColumn(
-        "has_trend", F.when(ok, (F.col("p_value") < 0.05) & (F.col("effect_size") > 0.01)))
+        "has_trend", F.when(ok, F.coalesce((F.col("p_value") < 0.05) & (F.col("effect_size") > 0.01), F.lit(False))))
 
 
 # Published KPSS critical points (10, 5, 2.5, 1 percent).
@@ -104,7 +104,8 @@ def kpss(df: DataFrame, spec: str = "c", freq: str = "MS", keys: Sequence[str] =
     used = F.slice("c", 1, F.floor(F.pow(n, F.lit(2 / 9))).cast("int"))
     s0 = F.col("c0") / n + F.aggregate(used, F.lit(0.0), lambda a, x: a + x * 2 / n)
     s1 = F.aggregate(F.transform(used, lambda x, i: x * 2 / n * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    ratio = s1 / s0
+    # a series without spread has no ratio and no statistic
+    ratio = F.try_divide(s1, s0)
     width = F.floor(F.lit(1.1447) * F.pow(ratio * ratio, F.lit(1 / 3)) * F.pow(n, F.lit(1 / 3)))
     band = prod.select(*keys, F.least(width, F.col("n") - 1).cast("long").alias("_band"))
     resid = rows.join(band, list(keys)).select(*keys, "t", "n", "_e", "_band")
@@ -113,7 +114,7 @@ def kpss(df: DataFrame, spec: str = "c", freq: str = "MS", keys: Sequence[str] =
         F.sum(F.col("_s") * F.col("_s")).alias("_ss"), F.first("n").alias("n"))
     out = partial.join(lrv, list(keys)).select(
         *keys, "n", "lags",
-        (F.col("_ss") / (F.col("n") * F.col("n")) / (F.col("long_run") / F.col("n"))).alias("statistic"))
+        F.try_divide(F.col("_ss") / (F.col("n") * F.col("n")), F.col("long_run") / F.col("n")).alias("statistic"))
     return out.withColumn("p_value", F.when(F.col("statistic").isNotNull(), _table_p(F.col("statistic"), spec)))
 
 

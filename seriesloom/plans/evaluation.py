@@ -57,11 +57,10 @@ class Backtest:
 def prepare_training(train: DataFrame, keys=FK, outliers: str = "none", imputation: str = "interpolate",
                      smoothing: str = "none", iqr_clip: bool = False, block: int | None = None) -> DataFrame:
     """Fold-safe preparation in fixed order: outliers, imputation, smoothing, optional clip."""
-    strategy = "clip" if iqr_clip else outliers
-    out = treat_outliers(train, strategy, keys, population=True)
+    out = treat_outliers(train, outliers, keys, population=True)
     out = impute_training(out, imputation, keys, block)
     if smoothing != "none":
-        out = smooth(out, smoothing).withColumn("value", F.col("smoothed")).drop("smoothed")
+        out = smooth(out, smoothing, keys).withColumn("value", F.col("smoothed")).drop("smoothed")
     return winsorise(out, keys) if iqr_clip else out
 
 

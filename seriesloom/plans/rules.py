@@ -41,7 +41,7 @@ def evidence(spark, d):
     gaps = missing_periods(raw, "MS").select("series_id", "missing_periods", "is_regular")
     out = O.iqr_report(raw).select("series_id", "outlier_count", "outlier_ratio")
     fit = T.linear_fit(prep)
-    t_abs = F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))
+    t_abs = F.sqrt(F.try_divide(F.col("r2") * (F.col("n") - 2), 1 - F.col("r2")))
     fit = fit.select("series_id", (t_abs > 1.96).alias("has_trend"), F.col("slope").alias("trend_slope"),
                      (F.col("r2") < 0.02).alias("is_stationary_adf"))
     rho = D.acf_arrays(prep, 1).select("series_id", F.get("acf", F.lit(0)).alias("_r1"))

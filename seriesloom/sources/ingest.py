@@ -55,7 +55,7 @@ def _sheet_rows(content: bytes) -> list[list[str | None]]:
         if "xl/sharedStrings.xml" in names:
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in root.iter(f"{_NS}si")]
-        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
         rows = []
         for row in ElementTree.fromstring(book.read(sheet)).iter(f"{_NS}row"):
             cells: dict[int, str | None] = {}
@@ -78,10 +78,12 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """Workbooks as long cells ``path, row, column, text``; files are read in parallel.
 
     A workbook is at most the upload limit, so one file per task is bounded.
-    The first row names the columns.
+    The first row names the columns; cells beyond it are named by position. An
+    empty or oversized file fails the read and is named.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    gated = files.filter(F.col("length").between(1, MAX_BYTES)).select("path", "content")
+    refused = F.raise_error(F.concat(F.lit("Workbook is empty or over the size limit: "), "path"))
+    gated = files.select("path", F.when(F.col("length").between(1, MAX_BYTES), F.col("content")).otherwise(refused).alias("content"))
 
     def cells(batches):
         for pdf in batches:
@@ -89,6 +91,8 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
             for p, content in zip(pdf["path"], pdf["content"]):
                 rows = _sheet_rows(content)
                 head = rows[0] if rows else []
+                width = max(map(len, rows), default=0)
+                head = [*head, *(f"column_{k + 1}" for k in range(len(head), width))]
                 for i, row in enumerate(rows[1:]):
                     for name, text in zip(head, row + [None] * (len(head) - len(row))):
                         out.append((p, i, name, text))
