@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from seriesloom.llm.arrays import slices
 from seriesloom.llm.library_tokens import LibraryEncoder
@@ -137,33 +138,36 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> N
     """
     count = 2 * partitions(docs)
     cuts = bounds(docs, "doc_id", count)
+    # ids travel to their shard in two bytes where the vocabulary allows
+    dtype = "<u2" if max(end_id + 1, Tokenizer.from_file(tokenizer).get_vocab_size()) <= 1 << 16 else "<u4"
+    width = int(dtype[2])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = LibraryEncoder(tokenizer, "dropped")
         for texts in slices(batches):
             ids, at = encoder.encode(texts.data, texts.offsets)
-            body = np.insert(ids, at[1:], end_id).astype("<u4").tobytes()
-            ends = (4 * (at + np.arange(len(at)))).tolist()
+            body = np.insert(ids, at[1:], end_id).astype(dtype).tobytes()
+            ends = (width * (at + np.arange(len(at)))).tolist()
             yield pa.RecordBatch.from_arrays([texts.rows.column(0), pa.array([body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["doc_id", "ids"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, part, names, held, size = None, 0, [], [], 0
 
         def done() -> pa.RecordBatch:
-            body = to_bytes(names, np.array([len(x) // 4 for x in held], np.int64), np.frombuffer(b"".join(held), "<u4"))
+            body = to_bytes(names, np.array([len(x) // width for x in held], np.int64), np.frombuffer(b"".join(held), dtype))
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([body], pa.large_binary())],
                                               names=["bucket", "part", "n_ids", "body"])
 
         for batch in batches:
             for b, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (b != now or size + len(ids) // 4 > SHARD_IDS):
+                if held and (b != now or size + len(ids) // width > SHARD_IDS):
                     yield done()
                     part = part + 1 if b == now else 0
                     names, held, size = [], [], 0
                 now = b
                 names.append(doc_id)
                 held.append(ids)
-                size += len(ids) // 4
+                size += len(ids) // width
         if held:
             yield done()
 
