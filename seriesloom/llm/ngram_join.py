@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.arrays import Powers, mix, slices
+from seriesloom.llm.cutting import text_key
 from seriesloom.llm.shingles import SIZE, digest, shingle_sets
 from seriesloom.llm.signatures import Bands, signatures
 from seriesloom.llm.tables import bounded_batches, components, partitions
@@ -31,7 +32,7 @@ from seriesloom.staging import stage
 THRESHOLD = Fraction(3, 4)
 PART_SIGNATURES = 1_500_000
 FAMILY_BLOCK = 1000
-_KEYS = "doc_id long, n_shingles long, key string, hot array<long>, hot_rows array<long>"
+_KEYS = "doc_id long, text_key long, n_shingles long, key string, hot array<long>, hot_rows array<long>"
 
 
 def _frequent(sets: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +54,12 @@ def set_keys(docs: DataFrame, size: int, share: float) -> DataFrame:
             hot, rows = _frequent(sets, share)
             none = [[] for _ in range(len(texts) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [texts.rows.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [texts.rows.column(0).cast(pa.int64()), texts.rows.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([digest(s).hex() if len(s) else None for s in sets], pa.string()),
                  pa.array([hot.view(np.int64), *none], pa.list_(pa.int64())), pa.array([rows, *none], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "key", "hot", "hot_rows"])
+                names=["doc_id", "text_key", "n_shingles", "key", "hot", "hot_rows"])
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(work, _KEYS)
+    return bounded_batches(docs.select("doc_id", text_key().alias("text_key"), "text")).mapInArrow(work, _KEYS)
 
 
 def _sketches(sets: list[np.ndarray], bits: np.ndarray) -> list[np.ndarray]:
@@ -326,8 +327,10 @@ def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: Fraction = THR
     """Link documents whose shingle sets have Jaccard similarity of ``threshold`` or more.
 
     Returns doc_id, n_shingles, class_id (key of the document's equal-set class,
-    null without words) and component_id: the smallest doc_id reachable by
-    links. Null or empty texts link with nothing and are their own component.
+    null without words), component_id: the smallest doc_id reachable by links,
+    group_id (names the component also where doc_id is null or repeated; null
+    without words) and text_key, which with doc_id tells the row's text. Null or
+    empty texts link with nothing and are their own component.
     Repeated rows stay repeated. Rows with a null doc_id take part in links and
     get the smallest non-null doc_id of their component, if it has one. Columns
     besides doc_id and text are ignored.
@@ -336,7 +339,8 @@ def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: Fraction = THR
     seen = keys.filter("n_shingles > 0").groupBy("n_shingles").agg(F.count(F.lit(1)).alias("n"))
     top = seen.agg(F.max("n_shingles").alias("m"), F.sum("n").alias("n")).first()
     if not top["m"]:
-        return keys.select("doc_id", "n_shingles", F.col("key").alias("class_id"), F.col("doc_id").alias("component_id"))
+        return keys.select("doc_id", "n_shingles", F.col("key").alias("class_id"), F.col("doc_id").alias("component_id"),
+                           F.col("key").alias("group_id"), "text_key")
     bands = Bands(threshold, top["m"])
     # signatures per instance decide into how many parts it is dealt; sizes are summed by band on the cluster
     at = F.size(F.filter(F.array(*(F.lit(int(e)) for e in bands.ends)), lambda e: e < F.col("n_shingles")))
@@ -360,7 +364,7 @@ def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: Fraction = THR
         large = member.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
         links = stage(exact_ties(sets.join(large, "root"), threshold), "ngram-links")
         linked = stage(components(links, "ngram-components"), "ngram-component")
-    named = keys.select("doc_id", "n_shingles", F.col("key").alias("class_id"))
+    named = keys.select("doc_id", "text_key", "n_shingles", F.col("key").alias("class_id"))
     if linked is None:
         named = named.withColumn("root", F.col("class_id"))
     else:
@@ -368,4 +372,5 @@ def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: Fraction = THR
     smallest = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"))
     return named.join(smallest, "root", "left").select(
         "doc_id", "n_shingles", "class_id",
-        F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+        F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"),
+        F.col("root").alias("group_id"), "text_key")
