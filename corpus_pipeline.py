@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm import chunk_dedup, language_id, ngram_join, packing, quality
+from seriesloom.llm.cutting import text_key
 from seriesloom.llm.tables import documents
 from seriesloom.staging import stage
 
@@ -25,10 +26,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    """One document of each group of near duplicates: the one with the smallest doc_id, null after all others.
+
+    Rows with one doc_id and different texts are judged by their texts. Documents
+    without words stay; rows that repeat both doc_id and text become one.
+    """
     classes = ngram_join.jaccard_classes(docs)
-    best = classes.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(best, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key").alias("text"))
+    best = classes.filter("group_id is not null").groupBy("group_id").agg(F.min(order).alias("best")).select("best.*").unionByName(
+        classes.filter("group_id is null").select(order.alias("best")).select("best.*"))
+    named = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), text_key().alias("key"))
+    # the keys of the join are those of the de-duplication, so texts move once
+    kept = named.join(best.withColumnRenamed("text", "key"), ["none", "id", "key"], "left_semi")
+    return kept.dropDuplicates(["none", "id", "key"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
