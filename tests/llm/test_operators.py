@@ -281,3 +281,20 @@ def test_pipeline(spark):
             break
         assert list(out.columns) == P.COLUMNS
         docs = spark.createDataFrame(out, docs.schema)
+
+
+def test_pipeline_near_duplicates_of_odd_rows(spark, odd, empty):
+    """Null and repeated doc_ids: one row of each group of linked texts stays, and no unlinked text is lost."""
+    import corpus_pipeline as P
+
+    one, two = "the first of two quite different texts under one id", "another text that shares nothing with its neighbour in the table"
+    extra = [(100, one), (100, two), (None, "a row that has no id but words of its own here"), (None, "and yet one more row without any id at all"), (101, two), (None, one)]
+    docs = odd.unionByName(spark.createDataFrame([(d, t, "en", "s", 1, None, None) for d, t in extra], odd.schema))
+    got = pairs(P.near_duplicates(spark, docs, SF))
+    groups = {}
+    for d, t in pairs(docs):
+        s = frozenset(shingles(t))
+        groups.setdefault(s or (d, t), []).append((d is None, d or 0, t))
+    want = [min(g, key=lambda r: r[:2]) for g in groups.values()]
+    assert sorted((d is None, d or 0, sorted(shingles(t))) for d, t in got) == sorted((n, d, sorted(shingles(t))) for n, d, t in want)
+    assert P.near_duplicates(spark, empty, SF).count() == 0
