@@ -1,7 +1,14 @@
-"""Ids of a tokenizer file through the tokenizers library, each distinct stretch of text encoded once per task."""
+"""Ids of a tokenizer file through the tokenizers library, each distinct stretch of text encoded once per worker.
+
+A worker process keeps one encoder and its bounded store from task to task, so
+the file is parsed once and no second copy grows beside the first.
+"""
 
 from __future__ import annotations
 
+import os
+from functools import lru_cache
+
 import numpy as np
 
 from seriesloom.llm.arrays import LOWER, SPACE, runs
@@ -32,6 +39,8 @@ class LibraryEncoder:
     CHUNK = 4096
 
     def __init__(self, path: str, blank: str):
+        # a task has one core; more threads of the library would only hold more memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,13 +81,12 @@ class LibraryEncoder:
                 out[i] = [t.id for t in model.tokenize("Ġ" + shown if blank else shown)]
             else:
                 rest.append(i)
-        texts = [pieces[i].decode() for i in rest]
-        if not self.dropped:
-            for i, found in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                out[i] = found.ids
-        else:
-            for a in range(0, len(texts), self.CHUNK):
-                some = texts[a : a + self.CHUNK]
+        for a in range(0, len(rest), self.CHUNK):
+            some = [pieces[i].decode() for i in rest[a : a + self.CHUNK]]
+            if not self.dropped:
+                for i, found in zip(rest[a : a + self.CHUNK], self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    out[i] = found.ids
+            else:
                 found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
                 where = np.searchsorted(np.cumsum([len(p) + 1 for p in some]), np.array([x for x, _ in found.offsets], np.int64), "right")
                 ids, cuts = found.ids, np.searchsorted(where, np.arange(len(some) + 1)).tolist()
@@ -94,3 +102,9 @@ class LibraryEncoder:
         start, end = self.stretches(data, offsets)
         ids, counts = self.store.ids(data, start, end)
         return ids, np.append(0, np.cumsum(counts))[np.searchsorted(start, offsets, "left")]
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, blank: str) -> LibraryEncoder:
+    """The encoder of this worker process; another file or kind replaces it."""
+    return LibraryEncoder(path, blank)

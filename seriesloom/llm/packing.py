@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from seriesloom.llm.arrays import slices
-from seriesloom.llm.library_tokens import LibraryEncoder
+from seriesloom.llm.library_tokens import worker_encoder
 from seriesloom.llm.tables import bounded_batches
 
 LENGTH = 2048
@@ -94,7 +94,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, segments: i
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(path, "kept")
+        encoder = worker_encoder(path, "kept")
         base, sequence = TaskContext.get().partitionId() << 36, 0
         for texts in slices(batches, limit=RUN_BYTES):
             ids, at = encoder.encode(texts.data, texts.offsets)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seriesloom.llm.arrays import slices
-from seriesloom.llm.library_tokens import LibraryEncoder
+from seriesloom.llm.library_tokens import worker_encoder
 from seriesloom.llm.tables import bounded_batches, bounds, bucket, partitions
 
 MAGIC = b"RPG1"
@@ -143,7 +143,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> N
     width = int(dtype[2])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(tokenizer, "dropped")
+        encoder = worker_encoder(tokenizer, "dropped")
         for texts in slices(batches):
             ids, at = encoder.encode(texts.data, texts.offsets)
             body = np.insert(ids, at[1:], end_id).astype(dtype).tobytes()
