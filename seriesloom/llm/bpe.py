@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seriesloom.llm.arrays import codepoints, expand, slices
+from seriesloom.llm.arrays import codepoints, expand, released, slices
 from seriesloom.llm.pieces import PieceStore
 from seriesloom.llm.tables import bounded_batches
 
@@ -262,4 +262,4 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
     return bounded_batches(docs.select("doc_id", "text")).mapInArrow(
-        work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+        released(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

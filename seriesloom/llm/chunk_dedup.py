@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import filters
-from seriesloom.llm.arrays import Powers, SpanHash, Texts, mix, seeded, slices
+from seriesloom.llm.arrays import Powers, SpanHash, Texts, mix, released, seeded, slices
 from seriesloom.llm.cutting import cut, text_key, with_spans
 from seriesloom.llm.tables import bounded_batches
 from seriesloom.staging import stage
@@ -90,7 +90,7 @@ def chunks(docs: DataFrame, member: np.ndarray | None = None) -> DataFrame:
                  pa.array((start - texts.offsets[row]).astype(np.int32)), pa.array((stop - texts.offsets[row]).astype(np.int32))],
                 names=["one", "two", "doc_id", "tk", "start", "stop"])
 
-    return bounded_batches(docs.select("doc_id", text_key().alias("tk"), "text")).mapInArrow(work, "one long, two long, doc_id long, tk long, start int, stop int")
+    return bounded_batches(docs.select("doc_id", text_key().alias("tk"), "text")).mapInArrow(released(work), "one long, two long, doc_id long, tk long, start int, stop int")
 
 
 def substring_dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:

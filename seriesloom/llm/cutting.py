@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.arrays import slices
+from seriesloom.llm.arrays import released, slices
 from seriesloom.llm.tables import bounded_batches
 
 
@@ -61,4 +61,4 @@ def cut(docs: DataFrame, least: int = 1) -> DataFrame:
                 names=[*rest, "kept", "n_bytes", "n_removed", "n_spans"])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
-    return bounded_batches(docs.select(*rest, "text", "spans")).mapInArrow(work, f"{fields}kept binary, n_bytes long, n_removed long, n_spans long")
+    return bounded_batches(docs.select(*rest, "text", "spans")).mapInArrow(released(work), f"{fields}kept binary, n_bytes long, n_removed long, n_spans long")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seriesloom.llm.arrays import mix
+from seriesloom.llm.arrays import mix, released
 
 LARGEST = 64 << 20
 
@@ -34,7 +34,7 @@ def build(values: DataFrame, count: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(have).tobytes()], pa.binary())], names=["have"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for row in values.coalesce(4).mapInArrow(work, "have binary").toLocalIterator():
+    for row in values.coalesce(4).mapInArrow(released(work), "have binary").toLocalIterator():
         out |= np.frombuffer(row["have"], np.uint8)
     return out
 

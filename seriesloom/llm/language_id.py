@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seriesloom.llm.arrays import Powers, slices
+from seriesloom.llm.arrays import Powers, released, slices
 from seriesloom.llm.letters import FLUSH, letter_words, word_counts
 from seriesloom.llm.tables import bounded_batches
 from seriesloom.staging import stage
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                                              names=[*texts.rows.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return bounded_batches(kept).mapInArrow(work, f"{fields}, lang_pred string, score double")
+    return bounded_batches(kept).mapInArrow(released(work), f"{fields}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):

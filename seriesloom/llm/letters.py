@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.arrays import Powers, SpanHash, Texts, runs, seeded, slices
+from seriesloom.llm.arrays import Powers, SpanHash, Texts, released, runs, seeded, slices
 from seriesloom.llm.tables import bounded_batches
 
 LETTER = np.zeros(256, bool)
@@ -67,4 +67,4 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield rows(held)
 
     with_lang = docs.filter("lang is not null").select(F.col("lang").cast(T.StringType()), "text")
-    return bounded_batches(with_lang).mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return bounded_batches(with_lang).mapInArrow(released(work), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seriesloom.llm.arrays import LOWER, Powers, SpanHash, runs, seeded, slices
+from seriesloom.llm.arrays import LOWER, Powers, SpanHash, released, runs, seeded, slices
 from seriesloom.llm.tables import bounded_batches
 
 LEAST_COVERAGE = 0.8
@@ -151,4 +151,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
                 names=["doc_id", "n_words", "license", "coverage", "first_word", "last_word", "n_notices"])
 
     return bounded_batches(docs.select("doc_id", "text")).mapInArrow(
-        work, "doc_id long, n_words long, license string, coverage double, first_word long, last_word long, n_notices long")
+        released(work), "doc_id long, n_words long, license string, coverage double, first_word long, last_word long, n_notices long")

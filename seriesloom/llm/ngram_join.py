@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.arrays import Powers, mix, slices
+from seriesloom.llm.arrays import Powers, mix, released, slices
 from seriesloom.llm.cutting import text_key
 from seriesloom.llm.shingles import SIZE, digest, shingle_sets
 from seriesloom.llm.signatures import Bands, signatures
@@ -59,7 +59,7 @@ def set_keys(docs: DataFrame, size: int, share: float) -> DataFrame:
                  pa.array([hot.view(np.int64), *none], pa.list_(pa.int64())), pa.array([rows, *none], pa.list_(pa.int64()))],
                 names=["doc_id", "text_key", "n_shingles", "key", "hot", "hot_rows"])
 
-    return bounded_batches(docs.select("doc_id", text_key().alias("text_key"), "text")).mapInArrow(work, _KEYS)
+    return bounded_batches(docs.select("doc_id", text_key().alias("text_key"), "text")).mapInArrow(released(work), _KEYS)
 
 
 def _sketches(sets: list[np.ndarray], bits: np.ndarray) -> list[np.ndarray]:
@@ -113,7 +113,7 @@ def signature_blocks(docs: DataFrame, size: int, bands: Bands, frequent: np.ndar
                                            names[who].tobytes(), *(sketch[w].tobytes() for w in who)]))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(work, "part int, block binary")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(released(work), "part int, block binary")
 
 
 class Forest:
@@ -217,7 +217,7 @@ def candidate_ties(blocks: DataFrame, parts: int, share: Fraction) -> DataFrame:
         if held:
             yield answer(held)
 
-    return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(work, "a string, b string")
+    return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(released(work), "a string, b string")
 
 
 def _membership(keys: DataFrame, count: int) -> np.ndarray:
@@ -235,7 +235,7 @@ def _membership(keys: DataFrame, count: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(have).tobytes()], pa.binary())], names=["have"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for row in keys.select("key").coalesce(4).mapInArrow(work, "have binary").toLocalIterator():
+    for row in keys.select("key").coalesce(4).mapInArrow(released(work), "have binary").toLocalIterator():
         out |= np.frombuffer(row["have"], np.uint8)
     return out
 
@@ -258,7 +258,7 @@ def family_sets(docs: DataFrame, size: int, member: np.ndarray) -> DataFrame:
                     values.append(elements.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.binary())], names=["key", "elements"])
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(work, "key string, elements binary")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(released(work), "key string, elements binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from seriesloom.llm.arrays import slices
+from seriesloom.llm.arrays import released, slices
 from seriesloom.llm.library_tokens import worker_encoder
 from seriesloom.llm.tables import bounded_batches
 
@@ -113,4 +113,4 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, segments: i
             sequence += int(seq.max()) + 1
 
     return bounded_batches(docs.select("doc_id", "text")).mapInArrow(
-        work, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        released(work), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seriesloom.llm.arrays import SPACE, Powers, SpanHash, Texts, mix, runs, seeded, slices
+from seriesloom.llm.arrays import SPACE, Powers, SpanHash, Texts, mix, released, runs, seeded, slices
 from seriesloom.llm.letters import letter_words, word_counts
 from seriesloom.llm.tables import bounded_batches
 from seriesloom.staging import stage
@@ -129,7 +129,7 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> tuple[dict[str, n
 
     labelled = docs.filter("lang is not null").select(F.col("lang").cast("string"), "text")
     fields = ", ".join(f"c{i} long" for i in range(CLASSES))
-    chars = bounded_batches(labelled).mapInArrow(work, f"lang string, {fields}").groupBy("lang").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(CLASSES)))
+    chars = bounded_batches(labelled).mapInArrow(released(work), f"lang string, {fields}").groupBy("lang").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(CLASSES)))
     counts = stage(word_counts(labelled), "quality-words")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("r", rank).filter(F.col("r") <= common)
@@ -179,4 +179,4 @@ def judge(docs: DataFrame, refs: tuple[dict[str, np.ndarray], dict[str, dict[str
             yield pa.RecordBatch.from_arrays([*texts.rows.columns, *(pa.array(out[k]) for k in added)], names=[*texts.rows.schema.names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return bounded_batches(rest).mapInArrow(work, f"{fields}, " + ", ".join(f"{k} {v}" for k, v in added.items()))
+    return bounded_batches(rest).mapInArrow(released(work), f"{fields}, " + ", ".join(f"{k} {v}" for k, v in added.items()))

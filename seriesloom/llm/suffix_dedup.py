@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import filters
-from seriesloom.llm.arrays import Powers, SpanHash, Texts, buffers, expand, mix, seeded, slices
+from seriesloom.llm.arrays import Powers, SpanHash, Texts, buffers, expand, mix, released, seeded, slices
 from seriesloom.llm.cutting import cut, text_key, with_spans
 from seriesloom.llm.tables import bounded_batches
 from seriesloom.staging import stage
@@ -76,7 +76,7 @@ def bucket_sizes(docs: DataFrame, length: int, q: int) -> DataFrame:
             ids, n = np.unique(gram, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n)], names=["aid", "n"])
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(work, "aid long, n long").groupBy("aid").agg(F.sum("n").alias("n")).filter("n > 1")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(released(work), "aid long, n long").groupBy("aid").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
 def window_runs(docs: DataFrame, member: np.ndarray, length: int, q: int) -> DataFrame:
@@ -103,7 +103,7 @@ def window_runs(docs: DataFrame, member: np.ndarray, length: int, q: int) -> Dat
                 names=["aid", "one", "two", "doc_id", "tk", "first", "windows", "around"])
 
     return bounded_batches(docs.select("doc_id", text_key().alias("tk"), "text")).mapInArrow(
-        work, "aid long, one long, two long, doc_id long, tk long, first int, windows int, around binary")
+        released(work), "aid long, one long, two long, doc_id long, tk long, first int, windows int, around binary")
 
 
 def _split_hot(hot: DataFrame, length: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _split_hot(hot: DataFrame, length: int) -> DataFrame:
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 5, pa.binary()), strict=True)], names=["aid", "part", "one", "two", "n", "ids"])
 
-    return hot.mapInArrow(work, "aid long, part long, one long, two long, n long, ids binary")
+    return hot.mapInArrow(released(work), "aid long, part long, one long, two long, n long, ids binary")
 
 
 def _refine(table: pd.DataFrame, powers: Powers, length: int) -> pa.RecordBatch:
@@ -175,7 +175,7 @@ def repeated_ranges(distinct: DataFrame, length: int) -> DataFrame:
             yield _refine(pd.DataFrame(held), powers, length)
 
     dealt = distinct.repartition("aid", "part").sortWithinPartitions("aid", "part")
-    return bounded_batches(dealt).mapInArrow(work, "aid long, one long, two long, low int, high int")
+    return bounded_batches(dealt).mapInArrow(released(work), "aid long, one long, two long, low int, high int")
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seriesloom.llm.arrays import slices
+from seriesloom.llm.arrays import released, slices
 from seriesloom.llm.library_tokens import worker_encoder
 from seriesloom.llm.tables import bounded_batches, bounds, bucket, partitions
 
@@ -171,9 +171,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> N
         if held:
             yield done()
 
-    encoded = bounded_batches(docs.select("doc_id", "text")).mapInArrow(encode, "doc_id long, ids binary")
+    encoded = bounded_batches(docs.select("doc_id", "text")).mapInArrow(released(encode), "doc_id long, ids binary")
     ordered = encoded.select(bucket("doc_id", cuts).cast("int").alias("bucket"), "doc_id", "ids").repartition(partitions(docs), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
-    ordered.mapInArrow(shards, "bucket int, part int, n_ids long, body binary").write.parquet(path)
+    ordered.mapInArrow(released(shards), "bucket int, part int, n_ids long, body binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -197,5 +197,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                      pa.array(local), pa.array(counts), pa.array([body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())],
                     names=["bucket", "part", "doc_id", "local", "n_tokens", "ids"])
 
-    rows = bounded_batches(shards.select("bucket", "part", "body")).mapInArrow(work, "bucket int, part int, doc_id long, local long, n_tokens long, ids binary")
+    rows = bounded_batches(shards.select("bucket", "part", "body")).mapInArrow(released(work), "bucket int, part int, doc_id long, local long, n_tokens long, ids binary")
     return rows.join(base, ["bucket", "part"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
