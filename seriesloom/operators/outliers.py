@@ -71,21 +71,23 @@ def zscore_report(df: DataFrame, threshold: float = 3.0) -> DataFrame:
 
 
 def treat_outliers(df: DataFrame, strategy: str, keys: Sequence[str] = KEYS,
-                   population: bool = False) -> DataFrame:
+                   population: bool = False, unbounded: bool = False) -> DataFrame:
     """Apply clip / winsorize / zscore_clip / remove / none per group.
 
-    ``population=True`` is the training-window form (population spread).
+    ``population=True`` is the training-window form (population spread);
+    ``unbounded=True`` is for raw rows, whose groups fit no single buffer.
     """
     if strategy == "none":
         return df
     if strategy in ("clip", "winsorize", "remove"):
-        bounds = iqr_bounds(df, keys)
+        bounds = iqr_bounds(df, keys, unbounded=unbounded)
     elif strategy == "zscore_clip":
         bounds = zscore_bounds(df, keys, population=population)
     else:
         raise ValueError(f"Unsupported outlier strategy: {strategy}")
     act = keep_between if strategy == "remove" else clip
-    joined = df.join(bounds.select(*keys, "lower", "upper"), list(keys))
+    # left: a group without values has no split bounds and stays as it is
+    joined = df.join(bounds.select(*keys, "lower", "upper"), list(keys), "left")
     treated = act(F.col("value"), F.col("lower"), F.col("upper"))
     return joined.withColumn("value", treated).drop("lower", "upper")
 

@@ -152,7 +152,7 @@ def _section(text: Column, name: str) -> Column:
 def parse_endorsements(text: Column) -> Column:
     lines = F.transform(F.split(F.coalesce(_section(text, "Endorsements"), F.lit("")), r"\r?\n"), F.trim)
     kept = F.filter(lines, lambda s: s.startswith("- ") & (F.lower(s) != "- none"))
-    return F.transform(kept, lambda s: F.trim(F.substring(s, 3, 1_000_000)))
+    return F.transform(kept, lambda s: F.trim(F.substring(s, F.lit(3), F.char_length(s))))
 
 
 def parse_summary(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import SCAN_BLOCK
 from seriesloom.operators import decompose, duplicates, frequency, grid, impute, outliers, quality, rolling, smooth
+from seriesloom.operators.quantiles import series_quantiles
 from seriesloom.plans import panels as P
 from seriesloom.plans.registry import query
 
@@ -212,7 +213,7 @@ for _name, _strategy, _head, _expr in (
 ):
     @query(_name, f"{_head} SELECT series_id, seq, round({_expr}, 6) AS value FROM ev_rows JOIN b USING (series_id)")
     def _treat(spark, d, strategy=_strategy):
-        out = outliers.treat_outliers(P.event_rows(spark, d), strategy)
+        out = outliers.treat_outliers(P.event_rows(spark, d), strategy, unbounded=True)
         return out.select("series_id", "seq", *_r("value", digits=6))
 
 
@@ -346,10 +347,14 @@ def impute_seasonal(spark, d):
 SELECT series_id, count(value) AS n, round(avg(value), 7) AS mean, round(stddev_samp(value), 7) AS sd, min(value) AS min,
   round(quantile_cont(value, 0.5), 7) AS median, max(value) AS max FROM ev_rows GROUP BY 1""")
 def describe_panel(spark, d):
-    return P.event_rows(spark, d).groupBy("series_id").agg(
+    rows = P.event_rows(spark, d)
+    moments = rows.groupBy("series_id").agg(
         F.count("value").alias("n"), F.round(F.avg("value"), 7).alias("mean"),
-        F.round(F.stddev_samp("value"), 7).alias("sd"), F.min("value").alias("min"),
-        F.round(F.percentile("value", F.lit(0.5)), 7).alias("median"), F.max("value").alias("max"))
+        F.round(F.stddev_samp("value"), 7).alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    # five series hold all events: the median comes from split ranges, not from one buffer
+    median = series_quantiles(rows, ["series_id"], "value", (0.5,), unbounded=True)
+    return moments.join(median, "series_id", "left").select(
+        "series_id", "n", "mean", "sd", "min", F.round("q0", 7).alias("median"), "max")
 
 
 @query("fold_safe_zclip", """
