@@ -2,11 +2,12 @@
 
 Set sizes are cut into bands whose ends grow by 1/threshold, so sets that reach
 the threshold lie in the same band or in neighbouring ones. An instance serves
-one band and the one below it. Within an instance, two linked sets differ in at
-most ``k`` elements. The feature domain is dealt into more than ``k`` cells; at
-most ``k`` cells can differ, so a set with more than ``k`` cells in use shares
-the whole content of one used cell with every partner. A signature is the
-digest of one used cell (an enumeration of one-cell subsets).
+one band and the one below it. Within an instance, a set and a linked one differ
+in at most ``k`` elements, a number that follows from the set's own size. The
+feature domain is dealt into more cells than that; at most ``k`` cells can
+differ, so a set with more than ``k`` cells in use shares the whole content of
+one used cell with every partner. A signature is the digest of one used cell
+(an enumeration of one-cell subsets).
 
 Very frequent elements are first taken out of the domain (differences only get
 fewer). A set that then uses too few cells also signs over the whole domain,
@@ -39,13 +40,17 @@ class Bands:
         ends.append(int((ends[-1] + 1) / threshold))
         self.ends = np.array(ends, np.int64)
         # |r ^ s| <= (1 - t) / (1 + t) * (|r| + |s|)
-        share = (1 - threshold) / (1 + threshold)
-        self.differ = np.array([int(share * 2 * e) for e in ends], np.int64)
-        self.cells = np.ceil(1.15 * (self.differ + 1)).astype(np.int64) + 2
+        self.share = (1 - threshold) / (1 + threshold)
+        self.cells = np.ceil(1.15 * (np.array([int(self.share * 2 * e) for e in ends], np.int64) + 1)).astype(np.int64) + 2
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, sizes, "left")
 
+    def differ(self, sizes: np.ndarray, instance: np.ndarray) -> np.ndarray:
+        """Most elements in which a set of each size differs from a set of its instance that it is linked with."""
+        largest = np.minimum(sizes * self.threshold.denominator // self.threshold.numerator, self.ends[instance])
+        return (sizes + largest) * self.share.numerator // self.share.denominator
+
 
 def _cells(values: np.ndarray, owner: np.ndarray, instance: np.ndarray, bands: Bands, space: int):
     """Signatures of the used cells, their owners, and how many cells each owner uses."""
@@ -76,7 +81,7 @@ def signatures(sets: list[np.ndarray], bands: Bands, frequent: np.ndarray) -> li
     out = []
     for step in (0, 1):
         instance = bands.of(sizes) + step
-        need = bands.differ[instance] + 1
+        need = bands.differ(sizes, instance) + 1
         ids, owners, lacking = [], [], np.ones(len(sets), bool)
         for space, keep in ((0, rare), (1, np.ones(len(values), bool))) if len(frequent) else ((0, rare),):
             chosen = keep & lacking[owner]
