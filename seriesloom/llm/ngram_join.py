@@ -7,7 +7,9 @@ families. A family's sets are then compared exactly, in blocks of fixed size.
 
 * Nothing is emitted per pair: tasks return spanning forests of what they found.
 * The screen is a parity sketch. The Hamming distance of two sketches never
-  exceeds the number of differing elements, so it drops no linked pair.
+  exceeds the number of differing elements, so it drops no linked pair. Large
+  bands are dealt by groups of cells (PartEnum's first level), and the sketch with
+  them: a linked pair passes the screen of one group at least.
 * Copies collapse before anything is shuffled per signature; a family larger
   than a block is compared block against block, in separate tasks.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,13 @@ from pyspark.sql import functions as F
 from seriesloom.llm.arrays import Powers, mix, released, slices
 from seriesloom.llm.cutting import text_key
 from seriesloom.llm.shingles import SIZE, digest, shingle_sets
-from seriesloom.llm.signatures import Bands, signatures
+from seriesloom.llm.signatures import Bands, Signed, signatures
 from seriesloom.llm.tables import bounded_batches, components, partitions
 from seriesloom.staging import stage
 
 THRESHOLD = Fraction(3, 4)
 PART_SIGNATURES = 1_500_000
+ALONE = 2  # the third space of signatures: single elements
 FAMILY_BLOCK = 1000
 _KEYS = "doc_id long, text_key long, n_shingles long, key string, hot array<long>, hot_rows array<long>"
 
@@ -62,24 +66,67 @@ def set_keys(docs: DataFrame, size: int, share: float) -> DataFrame:
     return bounded_batches(docs.select("doc_id", text_key().alias("text_key"), "text")).mapInArrow(released(work), _KEYS)
 
 
-def _sketches(sets: list[np.ndarray], bits: np.ndarray) -> list[np.ndarray]:
-    """Parity of the number of elements in each of ``bits`` cells, packed into bytes."""
-    out = []
-    for values, width in zip(sets, bits, strict=True):
-        cell = (mix(values ^ np.uint64(77)) % np.uint64(width)).astype(np.int64)
-        out.append(np.packbits((np.bincount(cell, minlength=width) & 1).astype(np.uint8)))
-    return out
-
-
-def sketch_bits(bands: Bands) -> np.ndarray:
-    """Cells of the sketch in each instance: two for each element of the largest set."""
-    return 8 * ((2 * bands.ends + 7) // 8 + 4)
+class Deal(NamedTuple):
+    """How each instance is dealt into parts: by groups of cells, and each group by signature value.
 
+    A set's sketch is dealt with its cells, so it travels once however many
+    groups there are. A group keeps eight cells or more; only beyond that
+    signature values divide the parts further.
+    """
 
-def signature_blocks(docs: DataFrame, size: int, bands: Bands, frequent: np.ndarray, ways: np.ndarray) -> DataFrame:
-    """Signatures packed by part; a part is one of the ``ways`` of an instance."""
-    base = np.cumsum(ways) - ways
-    bits = sketch_bits(bands)
+    groups: np.ndarray
+    splits: np.ndarray
+    base: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def of(bands: Bands, ways: np.ndarray) -> Deal:
+        groups = np.minimum(ways, np.maximum(1, bands.cells // 8))
+        splits = -(-ways // groups)
+        # two bits for each element of the largest set, and some for uneven groups
+        return Deal(groups, splits, np.cumsum(groups * splits) - groups * splits, 8 * ((2 * bands.ends // groups + 7) // 8 + 4))
+
+    @property
+    def parts(self) -> int:
+        return int((self.groups * self.splits).sum())
+
+
+def _sketches(values: np.ndarray, group: np.ndarray, groups: int, width: int) -> np.ndarray:
+    """Parity of the number of elements in each of ``width`` cells, packed into bytes, for every group of a set."""
+    cell = group * width + (mix(values ^ np.uint64(77)) % np.uint64(width)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=groups * width) & 1).astype(np.uint8)).reshape(groups, -1)
+
+
+def _packed(signed: Signed, space: int, instance: np.ndarray, sizes: np.ndarray, names: np.ndarray, deal: Deal) -> Iterator[tuple[int, bytes]]:
+    """Part and block of the signatures over one space. Single elements carry the sketch of the whole set."""
+    whole = space == ALONE
+    groups = np.ones(len(sizes), np.int64) if whole else deal.groups[instance]
+    spread = (deal.groups * deal.splits if whole else deal.splits)[instance]
+    bits = (deal.bits * deal.groups if whole else deal.bits)[instance]
+    group = signed.cell % groups[signed.owner]
+    way = group * spread[signed.owner] + (signed.ids % spread[signed.owner].astype(np.uint64)).astype(np.int64)
+    part = 3 * (deal.base[instance[signed.owner]] + way) + space
+    used = np.bincount(signed.owner, minlength=len(sizes))
+    most = int(groups.max())
+    of_group = np.bincount(signed.owner * most + group, minlength=len(sizes) * most)
+    cut = np.searchsorted(signed.value_owner, np.arange(len(sizes) + 1))
+    sketch = {o: _sketches(signed.values[cut[o] : cut[o + 1]], signed.value_cell[cut[o] : cut[o + 1]] % groups[o], int(groups[o]), int(bits[o]))
+              for o in np.flatnonzero(used).tolist()}
+    order = np.lexsort((signed.owner, part))
+    ids, owner, group, part = signed.ids[order], signed.owner[order], group[order], part[order]
+    cuts = np.append(np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)) if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        who, many = np.unique(owner[a:b], return_counts=True)
+        head = np.array([len(who), b - a, bits[who[0]] // 8], np.int64)
+        # six bytes of a signature are enough: sets that meet by chance are screened like all others
+        short = ids[a:b].view(np.uint8).reshape(-1, 8)[:, 2:]
+        at = group[a]
+        counts = (x.astype(np.int32).tobytes() for x in (sizes[who], many, of_group[who * most + at], used[who]))
+        yield int(part[a]), b"".join([head.tobytes(), *counts, short.tobytes(), names[who].tobytes(), *(sketch[w][at].tobytes() for w in who.tolist())])
+
+
+def signature_blocks(docs: DataFrame, size: int, bands: Bands, frequent: np.ndarray, deal: Deal) -> DataFrame:
+    """Signatures packed by part; a part is a share of one space of an instance."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, seen = Powers(), set()
@@ -95,23 +142,9 @@ def signature_blocks(docs: DataFrame, size: int, bands: Bands, frequent: np.ndar
                 continue
             sizes = np.array([len(s) for s in sets], np.int64)
             names = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
-            parts, blobs = [], []
-            for step, (ids, owner) in enumerate(signatures(sets, bands, frequent)):
-                instance = bands.of(sizes) + step
-                sketch = _sketches(sets, bits[instance])
-                part = base[instance[owner]] + (ids % ways[instance[owner]].astype(np.uint64)).astype(np.int64)
-                order = np.lexsort((owner, part))
-                ids, owner, part = ids[order], owner[order], part[order]
-                cuts = np.append(np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part))
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    who, many = np.unique(owner[a:b], return_counts=True)
-                    head = np.array([len(who), b - a, len(sketch[who[0]])], np.int64)
-                    parts.append(int(part[a]))
-                    # six bytes of a signature are enough: sets that meet by chance are screened like all others
-                    short = ids[a:b].view(np.uint8).reshape(-1, 8)[:, 2:]
-                    blobs.append(b"".join([head.tobytes(), sizes[who].astype(np.int32).tobytes(), many.astype(np.int32).tobytes(), short.tobytes(),
-                                           names[who].tobytes(), *(sketch[w].tobytes() for w in who)]))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
+            packed = [block for step, spaces in enumerate(signatures(sets, bands, frequent)) for space, signed in enumerate(spaces)
+                      for block in _packed(signed, space, bands.of(sizes) + step, sizes, names, deal)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], names=["part", "block"])
 
     return bounded_batches(docs.select("doc_id", "text")).mapInArrow(released(work), "part int, block binary")
 
@@ -145,18 +178,31 @@ class Forest:
         return used
 
 
-def _meet(blocks: list[bytes], share: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _allowed(total: np.ndarray, here: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Most differing elements in a group of cells for sets that may differ in ``total``, judged by one set's cells.
+
+    ``here`` of its ``used`` cells lie in the group. Shares of ``total + 1`` in
+    proportion to the cells, rounded up, reach ``total + 1`` over all groups, so
+    a linked pair stays below its share in one at least; it differs in fewer
+    elements there than the set has cells, so it also shares one of them. A set
+    with too few cells for this decides in a later space.
+    """
+    return np.where(used > total, -(-here * (total + 1) // np.maximum(used, 1)) - 1, -1)
+
+
+def _meet(blocks: list[bytes], share: Fraction, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forest of the screened pairs of one part: names of the sets, and the tied indices."""
-    sizes, many, ids, names, sketches = [], [], [], [], []
+    sizes, many, here, used, ids, names, sketches = [], [], [], [], [], [], []
     for blob in blocks:
         n, total, width = np.frombuffer(blob, np.int64, 3).tolist()
         at = 24
-        for out, dtype, count in ((sizes, np.int32, n), (many, np.int32, n), (ids, np.uint8, 6 * total), (names, np.uint8, 16 * n), (sketches, np.uint8, width * n)):
+        for out, dtype, count in ((sizes, np.int32, n), (many, np.int32, n), (here, np.int32, n), (used, np.int32, n), (ids, np.uint8, 6 * total), (names, np.uint8, 16 * n), (sketches, np.uint8, width * n)):
             out.append(np.frombuffer(blob, dtype, count, at))
             at += count * np.dtype(dtype).itemsize
     sketch = np.concatenate([s.reshape(-1, len(s) // len(z)) for s, z in zip(sketches, sizes, strict=True)])
     names = np.concatenate(names).reshape(-1, 16)
-    size, owner = np.concatenate(sizes).astype(np.int64), np.repeat(np.arange(len(names)), np.concatenate(many))
+    size, here, used = (np.concatenate(x).astype(np.int64) for x in (sizes, here, used))
+    owner = np.repeat(np.arange(len(names)), np.concatenate(many))
     short, ids = np.concatenate(ids).reshape(-1, 6), np.zeros(len(owner), np.uint64)
     ids.view(np.uint8).reshape(-1, 8)[:, 2:] = short
     # the same set can come from several tasks
@@ -179,12 +225,12 @@ def _meet(blocks: list[bytes], share: Fraction) -> tuple[np.ndarray, np.ndarray,
         for i in range(0, len(pairs), 20_000):
             a, b = pairs[i : i + 20_000].T
             differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
-            total = size[a] + size[b]
-            near = (differ * share.denominator <= total * share.numerator)
+            most = (size[a] + size[b]) * share.numerator // share.denominator
+            near = differ <= (most if whole else np.maximum(_allowed(most, here[a], used[a]), _allowed(most, here[b], used[b])))
             a, b = a[near], b[near]
-            used = forest.join(a, b)
-            ties_a.append(a[used])
-            ties_b.append(b[used])
+            tied = forest.join(a, b)
+            ties_a.append(a[tied])
+            ties_b.append(b[tied])
         turn += 1
         open_ = count > turn + 1
         start, count = start[open_], count[open_]
@@ -201,8 +247,8 @@ def _meet(blocks: list[bytes], share: Fraction) -> tuple[np.ndarray, np.ndarray,
 def candidate_ties(blocks: DataFrame, parts: int, share: Fraction) -> DataFrame:
     """Spanning forest, part by part, of the pairs that share a signature and pass the screen."""
 
-    def answer(blobs: list[bytes]) -> pa.RecordBatch:
-        names, a, b = _meet(blobs, share)
+    def answer(part: int, blobs: list[bytes]) -> pa.RecordBatch:
+        names, a, b = _meet(blobs, share, part % 3 == ALONE)
         return pa.RecordBatch.from_arrays([pa.array([names[i].tobytes().hex() for i in side], pa.string()) for side in (a, b)], names=["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,12 +256,12 @@ def candidate_ties(blocks: DataFrame, parts: int, share: Fraction) -> DataFrame:
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if part != now and held:
-                    yield answer(held)
+                    yield answer(now, held)
                     held = []
                 now = part
                 held.append(blob)
         if held:
-            yield answer(held)
+            yield answer(now, held)
 
     return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(released(work), "a string, b string")
 
@@ -351,9 +397,9 @@ def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: Fraction = THR
     hot = keys.filter(F.size("hot") > 0).select(F.explode(F.arrays_zip("hot", "hot_rows")).alias("h")).groupBy("h.hot").agg(
         F.sum("h.hot_rows").alias("rows")).filter(F.col("rows") >= 0.5 * frequent_share * top["n"])
     frequent = np.sort(np.array([r["hot"] for r in hot.collect()], np.int64).view(np.uint64))
-    share = (1 - threshold) / (1 + threshold)
-    blocks = signature_blocks(docs, size, bands, frequent, ways)
-    ties = stage(candidate_ties(blocks, int(max(partitions(docs), ways.sum())), share), "ngram-ties")
+    deal = Deal.of(bands, ways)
+    blocks = signature_blocks(docs, size, bands, frequent, deal)
+    ties = stage(candidate_ties(blocks, max(partitions(docs), deal.parts), bands.share), "ngram-ties")
     family = stage(components(ties, "ngram-families"), "ngram-family")
     member = family.select(F.col("node").alias("key"), "root").union(family.select(F.col("root").alias("key"), "root").distinct())
     count = family.agg(F.count(F.lit(1)), F.countDistinct("root")).first()

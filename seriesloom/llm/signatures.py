@@ -18,6 +18,7 @@ sets therefore always meet, whatever the set of frequent elements is.
 from __future__ import annotations
 
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 
@@ -52,8 +53,19 @@ class Bands:
         return (sizes + largest) * self.share.numerator // self.share.denominator
 
 
-def _cells(values: np.ndarray, owner: np.ndarray, instance: np.ndarray, bands: Bands, space: int):
-    """Signatures of the used cells, their owners, and how many cells each owner uses."""
+class Signed(NamedTuple):
+    """Signatures over one space of elements: value, owner and cell of each, and owner and cell of the elements."""
+
+    ids: np.ndarray
+    owner: np.ndarray
+    cell: np.ndarray
+    values: np.ndarray
+    value_owner: np.ndarray
+    value_cell: np.ndarray
+
+
+def _cells(values: np.ndarray, owner: np.ndarray, instance: np.ndarray, bands: Bands, space: int) -> Signed:
+    """Signatures of the used cells."""
     width = bands.cells[instance]
     base = np.cumsum(width) - width
     seeds = _SPREAD[(instance * 4 + space) % len(_SPREAD)]
@@ -64,13 +76,14 @@ def _cells(values: np.ndarray, owner: np.ndarray, instance: np.ndarray, bands: B
     used = np.flatnonzero(np.bincount(cell, minlength=total))
     at = np.searchsorted(base, used, "right") - 1
     tag = mix((used - base[at]).astype(np.uint64) + seeds[at])
-    return mix(content[used] + tag), at, np.bincount(at, minlength=len(width))
+    return Signed(mix(content[used] + tag), at, used - base[at], values, owner, cell - base[owner])
 
 
-def signatures(sets: list[np.ndarray], bands: Bands, frequent: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Signature values and the index of the set of each, for the set's own band and for the next one.
+def signatures(sets: list[np.ndarray], bands: Bands, frequent: np.ndarray) -> list[tuple[Signed, Signed, Signed]]:
+    """Signatures for the sets' own bands and for the next ones: over rare elements, over all, and by element.
 
-    ``frequent`` is sorted. Sets are not empty.
+    ``frequent`` is sorted. Sets are not empty. Only sets that use too few cells
+    of the spaces before appear in the second and the third.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     values = np.concatenate(sets)
@@ -82,16 +95,14 @@ def signatures(sets: list[np.ndarray], bands: Bands, frequent: np.ndarray) -> li
     for step in (0, 1):
         instance = bands.of(sizes) + step
         need = bands.differ(sizes, instance) + 1
-        ids, owners, lacking = [], [], np.ones(len(sets), bool)
-        for space, keep in ((0, rare), (1, np.ones(len(values), bool))) if len(frequent) else ((0, rare),):
+        signed, lacking = [], np.ones(len(sets), bool)
+        for space, keep in ((0, rare), (1, np.full(len(values), len(frequent) > 0))):
             chosen = keep & lacking[owner]
-            found, at, using = _cells(values[chosen], owner[chosen], instance, bands, space)
-            ids.append(found)
-            owners.append(at)
-            lacking &= using < need
-        single = lacking[owner]
+            signed.append(_cells(values[chosen], owner[chosen], instance, bands, space))
+            lacking &= np.bincount(signed[-1].owner, minlength=len(sets)) < need
+        alone = lacking[owner]
         seeds = _SPREAD[(instance * 4 + 2) % len(_SPREAD)]
-        ids.append(mix(values[single] + seeds[owner[single]]))
-        owners.append(owner[single])
-        out.append((np.concatenate(ids), np.concatenate(owners)))
+        none = np.zeros(int(alone.sum()), np.int64)
+        signed.append(Signed(mix(values[alone] + seeds[owner[alone]]), owner[alone], none, values[alone], owner[alone], none))
+        out.append(tuple(signed))
     return out

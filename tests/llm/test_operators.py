@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seriesloom.llm import bpe, chunk_dedup, fingerprints, language_id, licenses, ngram_join, packing, quality, queries, suffix_dedup, token_files
+from seriesloom.llm.shingles import digest
+from seriesloom.llm.signatures import Bands, signatures
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,6 +67,40 @@ def test_ngram_join(spark, odd, empty, which):
     assert sorted((tuple(r) for r in got), key=str) == brute_components(pairs(docs))
 
 
+@pytest.mark.parametrize("ways", [1, 5, 300])
+@pytest.mark.parametrize("common", [0, 30])
+def test_linked_sets_meet(ways, common):
+    rng = np.random.default_rng(ways + common)
+    frequent = np.sort(rng.integers(0, 1 << 63, common).astype(np.uint64))
+    sets, linked = [], []
+    for _ in range(400):
+        n = int(rng.choice([rng.integers(1, 30), rng.integers(30, 600)]))
+        a = np.unique(np.r_[frequent[: rng.integers(0, common + 1)], rng.integers(0, 1 << 63, n).astype(np.uint64)])
+        gone, new = int(rng.integers(0, len(a) // 4 + 1)), int(rng.integers(0, len(a) // 3 + 1))
+        b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64)])
+        if not np.array_equal(a, b) and 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
+            linked.append((len(sets), len(sets) + 1))
+        sets += [a, b]
+    bands = Bands(ngram_join.THRESHOLD, max(map(len, sets)))
+    deal = ngram_join.Deal.of(bands, np.full(len(bands.ends), ways))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    names = np.frombuffer(b"".join(digest(s) for s in sets), np.uint8).reshape(-1, 16)
+    parts = collections.defaultdict(list)
+    for step, spaces in enumerate(signatures(sets, bands, frequent)):
+        for space, signed in enumerate(spaces):
+            for part, blob in ngram_join._packed(signed, space, bands.of(sizes) + step, sizes, names, deal):
+                parts[part].append(blob)
+    forest, place = ngram_join.Forest(len(sets)), {n.tobytes(): i for i, n in enumerate(names)}
+    for part, blobs in parts.items():
+        found, a, b = ngram_join._meet(blobs, bands.share, part % 3 == ngram_join.ALONE)
+        at = np.array([place[n.tobytes()] for n in found])
+        forest.join(at[a], at[b])
+    top = forest.roots(np.arange(len(sets)))
+    assert len(linked) > 60 and max(parts) < 3 * deal.parts
+    assert all(top[a] == top[b] for a, b in linked)
+    assert len(np.unique(top)) > 300
+
+
 def brute_repeats(texts, length):
     bodies = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
