@@ -24,8 +24,8 @@ from seriesloom.staging import stage
 
 MEMORY = 32
 REACH = 24
-LEAST_CHUNK = REACH
-LEAST_RUN = 128
+# ends lie 25 bytes apart at least, and inside a character move on by up to three
+LEAST_CHUNK = REACH + 1 - 3
 _GEAR = np.append(mix(seeded(256, 71)) >> np.uint64(32), 0).astype(np.uint32)
 _ONE, _TWO = seeded(256, 72), seeded(256, 73)
 
@@ -93,12 +93,13 @@ def chunks(docs: DataFrame, member: np.ndarray | None = None) -> DataFrame:
     return bounded_batches(docs.select("doc_id", text_key().alias("tk"), "text")).mapInArrow(released(work), "one long, two long, doc_id long, tk long, start int, stop int")
 
 
-def substring_dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
+def substring_dedup(docs: DataFrame, least_run: int = 1) -> DataFrame:
     """Remove repeated chunks from texts.
 
     Adds n_bytes, n_removed, n_spans and kept (bytes of the remaining text) in
-    place of text; other columns stay. Only chunks of 24 bytes or more count,
-    and only runs of neighbouring copies of ``least_run`` bytes or more go. Null
+    place of text; other columns stay. Every chunk between two ends counts; only
+    the first and last of a text can have under 22 bytes, and then don't. Runs of
+    neighbouring copies under ``least_run`` bytes stay (default: all go). Null
     texts have kept null. Rows that repeat a doc_id and its text count once, so
     both are treated alike. A null doc_id comes before all others.
     """

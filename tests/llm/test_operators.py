@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seriesloom.llm import bpe, chunk_dedup, fingerprints, language_id, licenses, ngram_join, packing, quality, queries, suffix_dedup, token_files
+from seriesloom.llm.arrays import Texts
 from seriesloom.llm.shingles import digest
 from seriesloom.llm.signatures import Bands, signatures
 
@@ -144,6 +145,31 @@ def test_chunks(spark, odd, empty):
     assert len(kept) == odd.count() and all(r["kept"] is None or r["kept"].decode() is not None for r in kept)
 
 
+@pytest.mark.parametrize("letters, size", [("abcdefghijklmnopqrstuvwxyz", 3), ("abcdefghijklmnopqrstuvwxyz", 5), ("äöüßéàñóabcdefgh", 3), ("中文字一二三四五六七八九十百千万", 1)])
+def test_chunks_of_short_passages(spark, letters, size):
+    """Passages of 51 to 60 words never stay whole, however short the words; nothing else goes."""
+    rng = np.random.default_rng(size)
+
+    def words(n):
+        return " ".join("".join(letters[c] for c in rng.integers(0, len(letters), rng.integers(1, 2 * size + 1))) for _ in range(n))
+
+    passages = [words(51 + i % 10) for i in range(300)]
+    texts = [f"{words(60)} {p} {words(60)}" for _ in range(2) for p in passages]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in chunk_dedup.substring_dedup(docs).collect()}
+    assert not any(got[i]["n_removed"] for i in range(300))
+    assert all(0 < got[300 + i]["n_removed"] <= len(p.encode()) + 8 for i, p in enumerate(passages))
+
+
+def test_moved_chunks_count():
+    """Between two ends no chunk is too short to count, also where an end moves out of a character."""
+    rng = np.random.default_rng(6)
+    body = "".join("ab é中😀"[c] for c in rng.integers(0, 6, 60_000)).encode()
+    start = chunk_dedup.chunk_starts(Texts(np.frombuffer(body, np.uint8), np.array([0, len(body)]), None, np.zeros(1, bool)))
+    least = np.diff(start[1:]).min()
+    assert chunk_dedup.LEAST_CHUNK <= least < chunk_dedup.REACH
+
+
 def test_byte_bpe(spark, odd, empty):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
