@@ -305,6 +305,15 @@ def test_quality(spark, odd, empty, which):
         assert good.filter("kept").count() >= 0.97 * good.count()
 
 
+def test_quality_rejects(spark):
+    """Of the labelled documents that pass the base rules, nearly all bad ones go and nearly all good ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = quality.judge(docs.select("doc_id", "text"), quality.references(docs)).filter("not base_failed")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    share = {r["quality"]: (r["n"], r["kept"]) for r in judged.join(labels, "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert share[0][0] > 20 and share[0][1] < 0.1 and share[1][0] > 300 and share[1][1] > 0.99
+
+
 def test_distance():
     p = np.array([[1, 1, 0], [0, 0, 4]])
     assert np.allclose(quality.distance(p, np.array([2, 2, 0])), [0, 1])
