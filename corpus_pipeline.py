@@ -20,9 +20,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; documents without letters go."""
-    model = language_id.fit(docs.filter(~language_id.held_out()))
-    return language_id.predict(docs.select(*COLUMNS), model).filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+    """Documents like one of the labelled languages, learnt from all labelled rows; documents without letters go.
+
+    Without a labelled row nothing can be said of languages: all documents with letters stay.
+    """
+    model = language_id.fit(docs)
+    if not model.langs:
+        return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}"))
+    rows = language_id.predict(docs.select(*COLUMNS), model, likeness=True)
+    return rows.filter(F.col("likeness") >= language_id.LEAST_LIKENESS).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

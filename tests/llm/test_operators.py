@@ -354,6 +354,29 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out, docs.schema)
 
 
+def test_pipeline_language(spark, empty):
+    """Texts unlike every learnt language go, whatever their letters; without labels all texts with letters stay."""
+    import corpus_pipeline as P
+
+    docs = small(spark).select(*P.COLUMNS)
+    foreign = ["Это обычный русский текст, который здесь не встречается", "中文 テスト 日本語の文章です", "Kochamy długie spacery po lesie, gdzie szumią wysokie drzewa", "qwx zzkj pqrtv xkcd wvvb", "12 34"]
+    more = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(foreign)], docs.schema)
+    letters = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+
+    def stay(rows):
+        return {r["doc_id"] for r in P.language(spark, rows, SF).collect()}
+
+    assert stay(docs.unionByName(more)) == letters
+    bare = docs.unionByName(more).withColumn("lang", F.lit(None).cast("string"))
+    assert stay(bare) == letters | {10**6 + i for i in range(4)}
+    # all labels in the quarter that op6 keeps from learning
+    some = docs.withColumn("lang", F.when(language_id.held_out(), F.col("lang")))
+    assert letters == stay(some.unionByName(more))
+    assert P.language(spark, empty, SF).count() == 0
+    model = language_id.fit(docs)
+    assert language_id.predict(docs, model, likeness=True).columns == [*P.COLUMNS, "lang_pred", "score", "likeness"]
+
+
 def test_pipeline_near_duplicates_of_odd_rows(spark, odd, empty):
     """Null and repeated doc_ids: one row of each group of linked texts stays, and no unlinked text is lost."""
     import corpus_pipeline as P
