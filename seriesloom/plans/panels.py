@@ -27,24 +27,33 @@ def _sums(df: DataFrame, key: Column, ts: Column, value: Column, freq: str) -> D
     )
 
 
-def segment_raw(spark, sf_dir) -> DataFrame:
-    """Monthly order value per market segment, complete months only."""
+def before_partial_month(df: DataFrame, ts: str) -> DataFrame:
+    """``df`` without the rows of its last month, unless some row lies on that month's last day.
+
+    The rows that are there decide: a month whose last day has a row is complete and stays.
+    """
+    last = df.agg(F.max(ts)).scalar()
+    complete = F.to_date(last) == F.last_day(last)
+    return df.filter((F.col(ts) < bucket(last, "MS")) | (complete & (F.col(ts) <= last)))
+
+
+def segment_raw(spark, sf_dir, partial: bool = False) -> DataFrame:
+    """Monthly order value per market segment; a last month that the orders don't reach the end of only with ``partial``."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    last = orders.agg(bucket(F.max("o_orderdate"), "MS")).scalar()
+    orders = orders if partial else before_partial_month(orders, "o_orderdate")
     # month sums per customer first: the join then moves customers, not orders
-    per = orders.filter(F.col("o_orderdate") < last).groupBy(
+    per = orders.groupBy(
         "o_custkey", bucket(F.col("o_orderdate"), "MS").alias("ts")).agg(F.sum("o_totalprice").alias("_v"))
     rows = per.join(customer, per.o_custkey == customer.c_custkey)
     return rows.groupBy(F.col("c_mktsegment").alias("series_id"), "ts").agg(F.round(F.sum("_v"), 2).alias("value"))
 
 
-def supplier_raw(spark, sf_dir) -> DataFrame:
-    """Monthly shipped quantity per supplier, complete months only, with real gaps."""
+def supplier_raw(spark, sf_dir, partial: bool = False) -> DataFrame:
+    """Monthly shipped quantity per supplier, with real gaps; a last month not shipped to its end only with ``partial``."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity")
-    last = li.agg(bucket(F.max("l_shipdate"), "MS")).scalar()
-    return _sums(li.filter(F.col("l_shipdate") < last), F.col("l_suppkey"), F.col("l_shipdate"),
-                 F.col("l_quantity"), "MS")
+    li = li if partial else before_partial_month(li, "l_shipdate")
+    return _sums(li, F.col("l_suppkey"), F.col("l_shipdate"), F.col("l_quantity"), "MS")
 
 
 def status_raw(spark, sf_dir) -> DataFrame:
