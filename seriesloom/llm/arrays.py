@@ -32,34 +32,65 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * _ODD)
 
 
+PRIME = np.uint64((1 << 31) - 1)
+_HALF = np.uint64(31)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 as values below 2**31 + 2 with the same remainder modulo ``PRIME``."""
+    x = (x & PRIME) + (x >> _HALF)
+    x = (x & PRIME) + (x >> _HALF)
+    return (x & PRIME) + (x >> _HALF)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, step = np.ones(1, np.uint64), base
+    while len(out) < n:
+        out = np.concatenate([out, _fold(out * np.uint64(step))])
+        step = step * step % int(PRIME)
+    return out[:n].astype(np.uint32)
+
+
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of two bases and of their inverses modulo ``PRIME``, grown on demand; ``kind`` picks the bases."""
 
-    def __init__(self, base: int = 0xD1342543DE82EF95):
-        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
+    BASES = ((1_103_515_245, 1_812_433_253), (741_103_597, 1_597_334_677))
+
+    def __init__(self, kind: int = 0):
+        self.bases = self.BASES[kind]
+        self.up, self.down = ([np.ones(1, np.uint32)] * 2 for _ in range(2))
 
     def upto(self, n: int) -> None:
-        if n > len(self.up):
-            n = max(n, 2 * len(self.up))
-            for name, factor in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, factor, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+        if n > len(self.up[0]):
+            n = max(n, 2 * len(self.up[0]))
+            self.up = [_powers(b, n) for b in self.bases]
+            self.down = [_powers(pow(b, -1, int(PRIME)), n) for b in self.bases]
 
 
 class SpanHash:
-    """64-bit content hashes of any spans of an array of small integers, in constant time per span."""
+    """Content hashes of any spans of an array of small integers, in constant time per span.
+
+    Polynomials in two bases over a prime field, 62 bits together. (Modulo a
+    power of two, texts built by doubling with a swap collide in every base.)
+    """
 
     def __init__(self, table: np.ndarray, powers: Powers, symbols: np.ndarray):
         powers.upto(len(symbols) + 1)
-        self.powers = powers
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(table[symbols] * powers.up[: len(symbols)], out=self.sums[1:])
+        self.powers, self.sums = powers, []
+        for k, up in enumerate(powers.up):
+            terms = (table >> np.uint64(32 * k) & PRIME)[symbols]
+            terms *= up[: len(symbols)]
+            low = terms & PRIME
+            terms >>= _HALF
+            terms += low
+            # sums of terms below 2**32 stay exact in 64 bits
+            sums = np.zeros(len(symbols) + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self.sums.append(sums)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        body = (self.sums[end] - self.sums[start]) * self.powers.down[start]
-        return mix(body + (end - start).astype(np.uint64) * _ODD)
+        one, two = (_fold(_fold(sums[end] - sums[start]) * down[start]) % PRIME for sums, down in zip(self.sums, self.powers.down, strict=True))
+        return mix((one << _HALF | two) + (end - start).astype(np.uint64) * _ODD)
 
 
 class Texts:

@@ -72,7 +72,7 @@ def chunks(docs: DataFrame, member: np.ndarray | None = None) -> DataFrame:
     """(one, two, doc_id, tk, start, stop) of the chunks; with ``member``, of those that may be copies."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, others = Powers(), Powers(1)
         for texts in slices(batches):
             start = chunk_starts(texts)
             stop = np.append(start[1:], len(texts.data))[: len(start)]
@@ -82,7 +82,7 @@ def chunks(docs: DataFrame, member: np.ndarray | None = None) -> DataFrame:
             if member is not None:
                 keep = filters.contains(member, one)
                 start, stop, one = start[keep], stop[keep], one[keep]
-            two = SpanHash(_TWO, powers, texts.data)(start, stop)
+            two = SpanHash(_TWO, others, texts.data)(start, stop)
             row = np.searchsorted(texts.offsets, start, "right") - 1
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(

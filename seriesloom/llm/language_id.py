@@ -133,10 +133,12 @@ def predict(docs: DataFrame, model: Model, likeness: bool = False) -> DataFrame:
     """
     added = ["lang_pred", "score", *(["likeness"] if likeness else [])]
     kept = docs.drop(*added)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, powers = shared.value, Powers()
+        # plain values are shared, and the class comes with the task: workers need no installed copy
+        model, powers = Model.__new__(Model), Powers()
+        vars(model).update(shared.value)
         width = len(model.langs)
         number, table = {}, np.zeros((0, width * (1 + likeness)))
         for texts in slices(batches):

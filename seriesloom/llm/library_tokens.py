@@ -7,7 +7,8 @@ the file is parsed once and no second copy grows beside the first.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
+import sys
+from types import ModuleType
 
 import numpy as np
 
@@ -104,7 +105,13 @@ class LibraryEncoder:
         return ids, np.append(0, np.cumsum(counts))[np.searchsorted(start, offsets, "left")]
 
 
-@lru_cache(maxsize=1)
 def worker_encoder(path: str, blank: str) -> LibraryEncoder:
-    """The encoder of this worker process; another file or kind replaces it."""
-    return LibraryEncoder(path, blank)
+    """The encoder of this worker process; another file or kind replaces it.
+
+    Task code comes anew with every task, so the process holds the encoder in a
+    module made here, not in one of this package (which workers need not have).
+    """
+    held = sys.modules.setdefault("_worker_encoder", ModuleType("_worker_encoder"))
+    if getattr(held, "key", None) != (path, blank):
+        held.encoder, held.key = LibraryEncoder(path, blank), (path, blank)
+    return held.encoder

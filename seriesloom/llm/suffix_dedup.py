@@ -83,12 +83,12 @@ def window_runs(docs: DataFrame, member: np.ndarray, length: int, q: int) -> Dat
     """Runs of windows whose bucket may have several, with the identifier and (once a task) the bytes they span."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen = Powers(), set()
+        powers, others, seen = Powers(), Powers(1), set()
         for texts in slices(batches):
             anchor, gram, first, last = anchors(texts, powers, length, q)
             keep = filters.contains(member, gram)
             anchor, gram, first, last = anchor[keep], gram[keep], first[keep], last[keep]
-            one, two = (SpanHash(t, powers, texts.data)(first, last + length) for t in (_ONE, _TWO))
+            one, two = (SpanHash(t, p, texts.data)(first, last + length) for t, p in ((_ONE, powers), (_TWO, others)))
             row = np.searchsorted(texts.offsets, first, "right") - 1
             body, around = texts.data.tobytes(), []
             if len(seen) > 1_000_000:
