@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import bpe, chunk_dedup, fingerprints, language_id, licenses, ngram_join, packing, quality, suffix_dedup, token_files
+from seriesloom.llm import bpe, chunk_dedup, conversation_repair, fingerprints, language_id, licenses, ngram_join, packing, quality, suffix_dedup, token_files
 from seriesloom.llm.tables import documents
-from seriesloom.staging import stage_root
+from seriesloom.staging import stage, stage_root
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.drop("lang"), quality.references(docs)).drop("text")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = conversation_repair.damaged(conversations)
+    plans = stage(conversation_repair.audits(conversation_repair.faults(rows)), "repair-audits")
+    found = conversation_repair.digests(rows, plans).withColumnRenamed("conv_id", "_id")
+    ids = conversations.select("conv_id").distinct()
+    mine = plans.withColumnRenamed("conv_id", "_of")
+    joined = ids.join(mine, F.col("conv_id").eqNullSafe(F.col("_of")), "left").join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select("conv_id", *(F.when(F.col("audit").isNull(), 0).otherwise(F.col(c)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+                         F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"), F.coalesce("n_repaired", F.lit(0)).cast("long").alias("n_repaired"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_byte_bpe, op3_token_files, op4_ngram_join, op5_suffix_dedup,
-    op6_language_id, op7_chunk_dedup, op8_packing, op9_licenses, op10_quality)}
+    op6_language_id, op7_chunk_dedup, op8_packing, op9_licenses, op10_quality, op11_conversation_repair)}
 #: None of these results is within reach of SQL on whole tables; tests hold them against brute force.
 ORACLE: dict[str, str] = {}
