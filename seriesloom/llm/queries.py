@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import bpe, chunk_dedup, conversation_repair, fingerprints, language_id, licenses, ngram_join, packing, quality, suffix_dedup, token_files
+from seriesloom.llm import bpe, chat_windows, chunk_dedup, conversation_repair, fingerprints, language_id, licenses, ngram_join, packing, quality, suffix_dedup, token_files, whitening
 from seriesloom.llm.tables import documents
 from seriesloom.staging import stage, stage_root
 
@@ -76,8 +76,20 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"), F.coalesce("n_repaired", F.lit(0)).cast("long").alias("n_repaired"))
 
 
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    spoken = "</s>[INST] ok [/INST]"
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(spoken).alias("text"))
+    return chat_windows.read_back(chat_windows.windows(conversations.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_byte_bpe, op3_token_files, op4_ngram_join, op5_suffix_dedup,
-    op6_language_id, op7_chunk_dedup, op8_packing, op9_licenses, op10_quality, op11_conversation_repair)}
+    op6_language_id, op7_chunk_dedup, op8_packing, op9_licenses, op10_quality, op11_conversation_repair, op12_chat_windows, op13_whitening)}
 #: None of these results is within reach of SQL on whole tables; tests hold them against brute force.
 ORACLE: dict[str, str] = {}
