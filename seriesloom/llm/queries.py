@@ -26,7 +26,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{stage_root(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), path)
-    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.checksums(spark, path)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

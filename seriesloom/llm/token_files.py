@@ -1,8 +1,8 @@
 """Token-id files: Re-Pair grammars per shard.
 
 A shard holds the ids of consecutive documents. Rounds replace frequent pairs of
-neighbouring ids by new symbols (never across documents) and store the rules
-with the length each one expands to. A document is decoded from its own stretch
+neighbouring ids by new symbols (never across documents) until none occurs twice,
+and store the rules with the length each one expands to. A document is decoded from its own stretch
 of symbols; the lengths tell where any of its ids lies.
 
 Shards are rows of a Parquet table, so writing is all or nothing per task and a
@@ -11,7 +11,8 @@ lost executor's shards are written again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,73 +22,109 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seriesloom.llm.arrays import released, slices
+from seriesloom.llm.arrays import mix, released, slices
 from seriesloom.llm.library_tokens import worker_encoder
 from seriesloom.llm.tables import bounded_batches, bounds, bucket, partitions
+from seriesloom.staging import stage
 
 MAGIC = b"RPG1"
 END_ID = 1
 SHARD_IDS = 1 << 20
-ROUNDS = 4
-LEAST_COUNT = 16
-
-
-def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Symbols, start of each document among them, rules (left, right), expansion lengths, first new symbol."""
-    base = int(ids.max(initial=0)) + 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _best(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the ascending places beat those that overlap them; of a run of equal ones every second does."""
+    touch = at[1:] == at[:-1] + 1
+    left, right = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    np.multiply(weight[:-1], touch, out=left[1:])
+    np.multiply(weight[1:], touch, out=right[:-1])
+    same = weight == left
+    if not same.any():
+        return (weight > left) & (weight > right)
+    index = np.arange(len(at))
+    first = np.maximum.accumulate(np.where(same, 0, index))
+    last = np.minimum.accumulate(np.where(np.append(~same[1:], True), index, len(at) - 1)[::-1])[::-1]
+    return (weight > left[first]) & (weight > right[last]) & ((index - first) % 2 == 0)
+
+
+def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols, start of each document among them, rules (left, right), expansion lengths, first new symbol.
+
+    Rounds go on until no pair occurs twice. In a round a place is replaced where
+    its pair is more frequent than those that overlap it (equally frequent pairs
+    by a hash, so that long copies shrink by a share in each round, not by one
+    pair). A pair of old symbols never becomes more frequent, so a place whose
+    pair occurs once is looked at again only when a new symbol comes beside it.
+    """
+    base = free = int(ids.max(initial=0)) + 1
     symbols, starts = ids.astype(np.int64), starts.astype(np.int64)
-    rules, lengths = [], []
-    free = base
-    for _ in range(rounds):
-        n = len(symbols)
-        if n < 2:
-            break
-        ends = np.zeros(n + 1, bool)
-        ends[starts] = True
-        inside = np.flatnonzero(~ends[1:n])
-        if not len(inside):
-            break
-        key = symbols[inside] << 32 | symbols[inside + 1]
+    last = np.zeros(len(symbols), bool)
+    last[starts[starts > 0] - 1] = last[len(symbols) - 1 :] = True
+    may = ~last
+    rules, sizes = [], np.ones(base, np.int64)
+    while True:
+        at = np.flatnonzero(may)
+        key = symbols[at] << 32 | symbols[at + 1]
+        if len(at) > 4096:
+            # most pairs that occur once are alone in their slot of a hashed count
+            bits = min(22, len(at).bit_length() + 1)
+            slot = (key.view(np.uint64) * _ODD >> np.uint64(64 - bits)).view(np.int64)
+            some = np.bincount(slot, minlength=1 << bits)[slot] > 1
+            may[at[~some]] = False
+            at, key = at[some], key[some]
         codes, pairs = pd.factorize(key)
-        counts = np.bincount(codes)
-        order = np.flatnonzero(counts >= least)
-        order = order[np.lexsort((pairs[order], -counts[order]))]
-        if not len(order):
+        counts = np.bincount(codes, minlength=len(pairs))
+        again = counts[codes] > 1
+        may[at[~again]] = False
+        at, codes = at[again], codes[again]
+        if not len(at):
             break
-        rank = np.full(len(pairs), len(pairs), np.int64)
-        rank[order] = np.arange(len(order))
-        # a pair is replaced where it comes before both pairs that overlap it, by frequency and then position
-        place = np.full(n + 1, np.iinfo(np.int64).max)
-        place[inside + 1] = np.where(rank[codes] < len(pairs), rank[codes] * n + inside, np.iinfo(np.int64).max)
-        own = place[1:n]
-        hit = np.flatnonzero((own < place[: n - 1]) & (own < place[2:]) & (own < np.iinfo(np.int64).max))
-        used, new = np.unique(own[hit] // n, return_inverse=True)
-        found = pairs[order[used]]
-        rules.append(np.stack([found >> 32, found & 0xFFFFFFFF], 1))
-        sizes = np.concatenate([np.ones(base, np.int64), *lengths])
-        lengths.append(sizes[rules[-1][:, 0]] + sizes[rules[-1][:, 1]])
-        symbols[hit] = free + new
+        weight = (counts.astype(np.uint64) << np.uint64(32) | mix(pairs.view(np.uint64)) >> np.uint64(32))[codes]
+        wins = _best(at, weight)
+        hit, won = at[wins], codes[wins]
+        got = np.bincount(won, minlength=len(pairs))
+        if got.max(initial=0) > 1:
+            more = got[won] > 1
+            hit, won, used = hit[more], won[more], np.flatnonzero(got > 1)
+        else:
+            # no pair won twice: take the most frequent one on its own
+            best = int(np.argmax(counts))
+            places = at[codes == best]
+            hit = places[_best(places, np.ones(len(places), np.uint64))]
+            if len(hit) < 2:
+                may[places] = False
+                continue
+            won, used = np.full(len(hit), best), np.array([best])
+        number = np.zeros(len(pairs), np.int64)
+        number[used] = free + np.arange(len(used))
         free += len(used)
-        keep = np.ones(n, bool)
+        rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1))
+        sizes = np.append(sizes, sizes[rules[-1]].sum(1))
+        symbols[hit] = number[won]
+        may[hit] = may[np.maximum(hit - 1, 0)] = True
+        last[hit] = last[hit + 1]
+        keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        starts = np.append(0, np.cumsum(keep))[starts]
-        symbols = symbols[keep]
-    none = np.empty((0, 2), np.int64)
-    return symbols, starts, np.concatenate(rules) if rules else none, np.concatenate(lengths) if lengths else none[:, 0], base
+        starts = starts - np.searchsorted(hit + 1, starts)
+        symbols, last = symbols[keep], last[keep]
+        may = may[keep] & ~last
+    return symbols, starts, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), sizes[base:], base
 
 
-def expand_symbols(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """Ids of a stretch of symbols."""
-    while True:
-        new = symbols >= base
-        if not new.any():
-            return symbols
-        at = np.cumsum(1 + new) - 1 - new
-        out = np.empty(len(symbols) + int(new.sum()), np.int64)
-        out[at] = symbols
-        pair = rules[symbols[new] - base]
-        out[at[new]], out[at[new] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
+def expand_symbols(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """Ids of a stretch of symbols; the expansion lengths say where each side of a rule goes."""
+    def size(x: np.ndarray) -> np.ndarray:
+        return np.where(x < base, 1, lengths[np.maximum(x - base, 0)]) if len(lengths) else np.ones(len(x), np.int64)
+
+    ends = np.cumsum(size(symbols))
+    out, at = np.empty(int(ends[-1]) if len(ends) else 0, np.int64), ends - size(symbols)
+    while len(symbols):
+        plain = symbols < base
+        out[at[plain]] = symbols[plain]
+        pair, at = rules[symbols[~plain] - base], at[~plain]
+        symbols, at = pair.T.ravel(), np.append(at, at + size(pair[:, 0]))
+    return out
 
 
 def to_bytes(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -113,10 +150,10 @@ class Shard:
             at += n * np.dtype(dtype).itemsize
         known, ids, self.counts, self.starts, flat, self.lengths, self.symbols = parts
         self.doc_ids = [int(x) if k else None for x, k in zip(ids, known, strict=True)]
-        self.rules = flat.reshape(-1, 2).astype(np.int64)
+        self.rules, self.lengths = flat.reshape(-1, 2).astype(np.int64), self.lengths.astype(np.int64)
 
     def all(self) -> np.ndarray:
-        return expand_symbols(self.symbols.astype(np.int64), self.rules, self.base)
+        return expand_symbols(self.symbols.astype(np.int64), self.rules, self.lengths, self.base)
 
     def document(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start`` to ``stop`` of document ``i``, decoding only the symbols that cover them."""
@@ -127,7 +164,7 @@ class Shard:
         stop = int(self.counts[i]) if stop is None else stop
         a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
         first = int(ends[a] - sizes[a]) if a < len(ends) else 0
-        return expand_symbols(symbols[a:b], self.rules, self.base)[start - first : max(stop, start) - first]
+        return expand_symbols(symbols[a:b], self.rules, self.lengths, self.base)[start - first : max(stop, start) - first]
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
@@ -176,26 +213,34 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> N
     ordered.mapInArrow(released(shards), "bucket int, part int, n_ids long, body binary").write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document; start counts the ids of all documents before it."""
+def _decoded(spark: SparkSession, path: str, last: str, kind: pa.DataType, made: Callable[[bytes], object]) -> DataFrame:
+    """(doc_id, start, n_tokens, ``last``) of every document; ``made`` turns its little-endian unsigned 32-bit ids into the last column."""
     shards = spark.read.parquet(path)
+    # a row a shard: one running total over a small table, written so that its size decides how it is joined
     before = W.orderBy("bucket", "part").rowsBetween(W.unboundedPreceding, -1)
-    # a row a shard: the running total is over a small table
-    base = shards.select("bucket", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    base = stage(shards.select("bucket", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base")), "token-base")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard(batch.column(2)[i].as_py())
-                body = shard.all().astype("<u4").tobytes()
+                shard = Shard(batch.column(1)[i].as_py())
+                body = memoryview(shard.all().astype("<u4")).cast("B")
                 counts = shard.counts.astype(np.int64)
                 local = np.cumsum(counts) - counts
-                n = len(counts)
                 ends = (4 * np.append(local, counts.sum())).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column(0)[i].as_py(), np.int32)), pa.array(np.full(n, batch.column(1)[i].as_py(), np.int32)), pa.array(shard.doc_ids, pa.int64()),
-                     pa.array(local), pa.array(counts), pa.array([body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())],
-                    names=["bucket", "part", "doc_id", "local", "n_tokens", "ids"])
+                    [pa.array(shard.doc_ids, pa.int64()), pa.array(local + batch.column(0)[i].as_py()), pa.array(counts), pa.array([made(body[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], kind)],
+                    names=["doc_id", "start", "n_tokens", last])
+
+    placed = shards.select("bucket", "part", "body").join(base, ["bucket", "part"]).select("base", "body")
+    return bounded_batches(placed).mapInArrow(released(work), f"doc_id long, start long, n_tokens long, {last} {'binary' if pa.types.is_binary(kind) else 'long'}")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document; start counts the ids of all documents before it."""
+    return _decoded(spark, path, "ids", pa.binary(), bytes)
+
 
-    rows = bounded_batches(shards.select("bucket", "part", "body")).mapInArrow(released(work), "bucket int, part int, doc_id long, local long, n_tokens long, ids binary")
-    return rows.join(base, ["bucket", "part"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, taken where its shard is decoded."""
+    return _decoded(spark, path, "ids_crc32", pa.int64(), zlib.crc32)
