@@ -131,3 +131,23 @@ def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
 @pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(t_quantile_value, p, df)
+
+
+def kendall_tail_value(n: float, c: float) -> float:
+    """Exact two-sided tail of rank correlation from the distribution of ``c`` discordant pairs among ``n`` untied values."""
+    n, c = int(n), int(c)
+    if c * 2 == n * (n - 1) // 2:
+        return 1.0
+    counts = np.zeros(c + 1)
+    counts[0] = 1.0
+    for k in range(2, n + 1):
+        acc = np.cumsum(counts)
+        acc[k:] -= np.cumsum(counts)[:-k] if c >= k else 0.0
+        counts = acc / k
+    return float(min(1.0, 2 * counts.sum()))
+
+
+@pandas_udf(DoubleType())
+def kendall_tail(n: pd.Series, c: pd.Series) -> pd.Series:
+    # evaluated beside a condition, also for rows it is not meant for
+    return _rowwise(lambda a, b: kendall_tail_value(a, b) if a <= 64 else float("nan"), n, c)

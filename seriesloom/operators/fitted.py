@@ -152,12 +152,6 @@ def normality(df: DataFrame, keys: Sequence[str], column: str, order: str = "t")
                     "statistic double, p_value double", list(keys))
 
 
-def monotone_trend(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rank correlation with time and the median pairwise slope with its interval."""
-    return run_rows(pack(df, keys), lambda x, row: KT.kendall_sen(x),
-                    "status string, tau double, p_value double, sen_slope double, slope_lo double, slope_hi double", list(keys))
-
-
 def calibrate_interval(lo: Column, hi: Column, coverage: Column, t_nominal: Column, t_empirical: Column) -> Column:
     """Scale the half width by the ratio of quantiles; skipped at coverage 0 or 1."""
     usable = (coverage > 0) & (coverage < 1) & (t_empirical > 0)

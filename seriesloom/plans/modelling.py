@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seriesloom.kernels.rows import pack
 from seriesloom.operators import fitted as FT
 from seriesloom.operators import metrics as M
+from seriesloom.operators import pairs as PR
 from seriesloom.operators import residuals as R
 from seriesloom.operators import selection as S
 from seriesloom.operators import trend as T
@@ -99,7 +100,7 @@ def remediation(spark, d):
 SELECT a.series_id, round(quantile_cont((b.value - a.value) / (b.t - a.t), 0.5), 5) AS sen_slope
 FROM sup_prep a JOIN sup_prep b ON b.series_id = a.series_id AND b.t > a.t GROUP BY 1""")
 def theil_sen(spark, d):
-    return FT.monotone_trend(P.supplier_prep(spark, d)).select("series_id", *_r("sen_slope"))
+    return PR.monotone_trend(P.supplier_prep(spark, d)).select("series_id", *_r("sen_slope"))
 
 
 @query("kendall_tau", """
@@ -107,12 +108,12 @@ WITH s AS (SELECT a.series_id, sum(sign(b.value - a.value)) AS s, count(*) AS n,
   FROM sup_prep a JOIN sup_prep b ON b.series_id = a.series_id AND b.t > a.t GROUP BY 1)
 SELECT series_id, round(s / sqrt(n * u), 6) AS tau FROM s""")
 def kendall_tau(spark, d):
-    return FT.monotone_trend(P.supplier_prep(spark, d)).select("series_id", *_r("tau", digits=6))
+    return PR.monotone_trend(P.supplier_prep(spark, d)).select("series_id", *_r("tau", digits=6))
 
 
 @query("monotone_trend")
 def monotone_trend(spark, d):
-    return FT.monotone_trend(P.supplier_prep(spark, d))
+    return PR.monotone_trend(P.supplier_prep(spark, d))
 
 
 @query("adf")

@@ -35,18 +35,6 @@ def test_shapiro_published_example():
     assert got["statistic"] == pytest.approx(0.79, abs=0.005) and got["p_value"] == pytest.approx(0.0067, abs=2e-4)
 
 
-def test_sen_slope_and_tau_equal_all_pairs():
-    gen = np.random.default_rng(0)
-    for y in (gen.normal(size=31), gen.integers(0, 4, 40).astype(float), X):
-        i, j = np.triu_indices(len(y), 1)
-        slopes = np.sort((y[j] - y[i]) / (j - i))
-        got = series_tests.kendall_sen(y)
-        assert got["sen_slope"] == pytest.approx(np.median(slopes), abs=1e-9)
-        s = np.sum(np.sign(y[j] - y[i]))
-        assert got["tau"] == pytest.approx(s / math.sqrt(len(slopes) * np.count_nonzero(y[j] != y[i])), abs=1e-12)
-    assert series_tests.kendall_sen(np.arange(5.0))["status"] == "not_estimable"
-
-
 def test_exact_kendall_tail_by_enumeration():
     from itertools import permutations
 
@@ -54,7 +42,7 @@ def test_exact_kendall_tail_by_enumeration():
     stats = [sum(p[a] > p[b] for a in range(n) for b in range(a + 1, n)) for p in permutations(range(n))]
     for c in range(0, 8):
         want = min(1.0, 2 * np.mean(np.array(stats) <= c)) if 2 * c != n * (n - 1) // 2 else 1.0
-        assert series_tests._exact_kendall(n, c) == pytest.approx(want, abs=1e-12)
+        assert tails.kendall_tail_value(n, c) == pytest.approx(want, abs=1e-12)
 
 
 def test_smoothing_without_trend_or_season_is_simple_smoothing():
