@@ -117,19 +117,3 @@ def cumulative_band(point: np.ndarray, resid: np.ndarray, seed: int, draws: int
     picks = np.random.default_rng(seed).choice(resid, size=(draws, len(point)), replace=True)
     paths = point[None, :] + np.cumsum(picks, axis=1)
     return np.quantile(paths, 0.025, axis=0), np.quantile(paths, 0.975, axis=0)
-
-
-def level_fit(x: np.ndarray, grid: list[float]) -> tuple[float, float, float, np.ndarray]:
-    """Best smoothing weight on a grid: weight, squared error, final level, one-step errors."""
-    a = np.asarray(grid)
-    level, sse = np.full(len(a), x[0]), np.zeros(len(a))
-    for y in x[1:]:
-        e = y - level
-        sse += e * e
-        level = a * y + (1 - a) * level
-    k = int(np.argmin(sse))
-    out, now = np.empty(len(x) - 1), x[0]
-    for i, y in enumerate(x[1:]):
-        out[i] = y - now
-        now = a[k] * y + (1 - a[k]) * now
-    return float(a[k]), float(sse[k]), float(now), out

@@ -4,19 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.kernels.rows import run_rows
-from seriesloom.kernels.smoothing import level_fit
-
 KEYS = ("series_id", "fold")
 BASELINES = ("Constant", "Naive", "Seasonal Naive", "Mean Forecast", "Drift")
 
-# Smoothing levels tried, 0.01 to 0.99 in steps of 0.01.
-ALPHA_GRID = [i / 100 for i in range(1, 100)]
-
 
 def baseline_features(train: DataFrame, period: int, keys: Sequence[str] = KEYS,
                       carry: Sequence[str] = ("kind", "horizon")) -> DataFrame:
@@ -62,28 +55,6 @@ def baseline_forecasts(features: DataFrame, period: int, keys: Sequence[str] = K
     return steps.select(*keys, *extra, "h", F.inline(rows)).filter(F.col("yhat").isNotNull())
 
 
-SES_SCHEMA = ("status string, alpha double, sse double, level double, band_lo double, band_hi double, "
-              "resid array<double>, n_train int")
-
-
-def ses_fit(windows: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str] = ("horizon",)) -> DataFrame:
-    """Smoothing level by one-step squared error over the fixed grid, per packed window.
-
-    All grid levels advance together through the window. The band offsets are
-    the exact residual quantiles, which resampling the residuals converges to.
-    """
-
-    def fit(x, row):
-        if len(x) < 3:
-            return {"status": "not_estimable", "level": float(x[-1]), "resid": [], "n_train": len(x)}
-        alpha, sse, level, resid = level_fit(x, ALPHA_GRID)
-        lo, hi = np.quantile(resid, [0.025, 0.975])
-        return {"status": "ok", "alpha": alpha, "sse": sse, "level": level, "band_lo": float(lo), "band_hi": float(hi),
-                "resid": resid.tolist(), "n_train": len(x)}
-
-    return run_rows(windows, fit, SES_SCHEMA, [*keys, *carry])
-
-
 def ses_forecasts(fit: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Flat forecast with its residual-quantile band."""
     steps = fit.withColumn("h", F.explode(F.sequence(F.lit(1), F.col("horizon").cast("int"))))

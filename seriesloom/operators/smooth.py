@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.levels import affine_carry
 from seriesloom.operators.scans import _BLK, framed, in_blocks
 from pyspark.sql import Window
 
@@ -19,7 +20,7 @@ def ewm(df: DataFrame, alpha: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Recursive exponential mean started at the first value (``adjust=False``).
 
     Inside a block the recursion is a decayed prefix sum; across blocks only the
-    block's end level is carried. The block is short enough that the decay
+    block's end level is carried, by composing the blocks as affine maps. The block is short enough that the decay
     factors stay representable.
     """
     decay = 1.0 - alpha
@@ -33,21 +34,8 @@ def ewm(df: DataFrame, alpha: float, keys: Sequence[str] = KEYS) -> DataFrame:
     ends = rows.groupBy(*keys, _BLK).agg(
         F.sum(gain).alias("_g"), F.max(i).alias("_i")
     ).withColumn("_local", F.col("_g") * F.pow(F.lit(decay), F.col("_i")))
-    # levels across blocks: one short fold per series over its block ends
-    chain = ends.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(_BLK, "_local", "_i"))).alias("_ends")
-    )
-    carried = F.aggregate(
-        "_ends",
-        F.struct(F.lit(0.0).alias("level"),
-                 F.array().cast("array<struct<b:bigint,c:double>>").alias("out")),
-        lambda s, e: F.struct(
-            (s["level"] * F.pow(F.lit(decay), e["_i"] + 1) + e["_local"]).alias("level"),
-            F.concat(s["out"], F.array(F.struct(e[_BLK].alias("b"), s["level"].alias("c")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    carry = chain.select(*keys, F.inline(carried).alias("b", "c")).withColumnsRenamed({"b": _BLK, "c": "_carry"})
+    maps = ends.select(*keys, _BLK, F.pow(F.lit(decay), F.col("_i") + 1).alias("a"), F.col("_local").alias("b"))
+    carry = affine_carry(maps, keys).withColumnRenamed("x", "_carry")
     w = Window.partitionBy(*keys, _BLK).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     level = F.sum(gain).over(w) * F.pow(F.lit(decay), i) + F.col("_carry") * F.pow(F.lit(decay), i + 1)
     return rows.join(carry, [*keys, _BLK]).withColumn("smoothed", level).drop(_BLK, "_carry")

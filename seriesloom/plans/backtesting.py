@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom.kernels.rows import pack
 from seriesloom.operators import candidates as C
 from seriesloom.operators import folds as FO
 from seriesloom.operators import metrics as M
 from seriesloom.operators import selection as S
+from seriesloom.operators.levels import level_fit
 from seriesloom.operators.grid import reindex
 from seriesloom.operators.outliers import treat_outliers
 from seriesloom.plans import evaluation as E
@@ -304,14 +304,24 @@ e AS (SELECT r.*, row_number() OVER (PARTITION BY r.series_id, r.fold ORDER BY s
 SELECT series_id, fold, alpha, round(sse / 1e6, 2) AS sse_millions, round(level, 3) AS level FROM e WHERE k = 1""")
 def ses_alpha_grid(spark, d):
     bt = segment_backtest(spark, d)
-    windows = pack(bt.train.filter(F.col("kind") == "rolling"), ("series_id", "fold"), carry=["horizon"])
-    fit = C.ses_fit(windows, ("series_id", "fold"))
+    fit = level_fit(bt.train.filter(F.col("kind") == "rolling"), ("series_id", "fold"))
     return fit.select("series_id", "fold", "alpha", F.round(F.col("sse") / 1e6, 2).alias("sse_millions"), *_r("level", digits=3))
 
 
-@query("ses_backtest")
+@query("ses_backtest", """
+WITH RECURSIVE a AS (SELECT unnest(range(1, 100)) / 100.0::DOUBLE AS alpha),
+r AS (SELECT series_id, fold, kind, t, alpha, value AS level, 0.0::DOUBLE AS sse, NULL::DOUBLE AS miss FROM sup_train, a WHERE t = 0
+  UNION ALL SELECT w.series_id, w.fold, w.kind, w.t, r.alpha, r.alpha * w.value + (1 - r.alpha) * r.level, r.sse + (w.value - r.level) ** 2, w.value - r.level
+  FROM r JOIN sup_train w ON w.series_id = r.series_id AND w.fold = r.fold AND w.kind = r.kind AND w.t = r.t + 1),
+l AS (SELECT series_id, fold, kind, max(t) AS t FROM sup_train GROUP BY 1, 2, 3),
+e AS (SELECT r.*, row_number() OVER (PARTITION BY series_id, fold, kind ORDER BY sse, alpha) AS k FROM r JOIN l USING (series_id, fold, kind, t)),
+q AS (SELECT r.series_id, r.fold, r.kind, quantile_cont(r.miss, 0.025) AS lo, quantile_cont(r.miss, 0.975) AS hi
+  FROM r JOIN e ON e.k = 1 AND e.series_id = r.series_id AND e.fold = r.fold AND e.kind = r.kind AND e.alpha = r.alpha WHERE r.miss IS NOT NULL GROUP BY 1, 2, 3)
+SELECT e.series_id, e.fold, e.kind, h, 3 AS ord, 'EWMA' AS model, round(e.level, 6) AS yhat, round(e.level + lo, 6) AS lo, round(e.level + hi, 6) AS hi, 'ok' AS status
+FROM e JOIN q USING (series_id, fold, kind) JOIN sup_folds f USING (series_id, fold, kind), (SELECT unnest(range(1, 13)) AS h) WHERE e.k = 1 AND h <= f.horizon""")
 def ses_backtest(spark, d):
-    return supplier_backtest(spark, d).smoothing()
+    out = supplier_backtest(spark, d).smoothing()
+    return out.select("series_id", "fold", "kind", "h", "ord", "model", *_r("yhat", "lo", "hi", digits=6), "status")
 
 
 @query("interval_scores")

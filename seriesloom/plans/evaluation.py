@@ -15,6 +15,7 @@ from seriesloom.operators import fitted as FT
 from seriesloom.operators import metrics as M
 from seriesloom.operators import transforms as X
 from seriesloom.operators.impute import impute_training
+from seriesloom.operators.levels import level_fit
 from seriesloom.operators.outliers import treat_outliers, winsorise
 from seriesloom.operators.quality import constant_and_skew
 from seriesloom.operators.selection import select_models
@@ -42,7 +43,7 @@ class Backtest:
         return C.baseline_forecasts(feats, self.period, FK, F.col("_const"))
 
     def smoothing(self) -> DataFrame:
-        return C.ses_forecasts(C.ses_fit(pack(self.train, FK, carry=["horizon"]), FK), FK)
+        return C.ses_forecasts(stage(level_fit(self.train, FK, ["horizon"]), "level-fit"), FK)
 
     def errors(self, predictions: DataFrame, kind: str = "rolling") -> DataFrame:
         """Aligned errors with the scale of the first fold (or of the final window)."""
@@ -139,7 +140,7 @@ def untransform_fits(fits: DataFrame) -> DataFrame:
 def transformed_smoothing(bt: Backtest) -> DataFrame:
     """Simple smoothing fitted on the transformed scale and mapped back."""
     extra = ("horizon", "transform", "lmbda", "shift")
-    fit = C.ses_fit(pack(transformed_windows(bt), FK, carry=extra), FK, extra)
+    fit = level_fit(transformed_windows(bt), FK, extra, with_resid=True)
     flat = lambda c: F.array_repeat(c, F.col("horizon").cast("int"))
     fits = fit.select(
         *FK, *extra, "resid", "status", F.lit("EWMA").alias("model"), F.lit(3).alias("ord"), flat(F.col("level")).alias("yhat"),
