@@ -4,34 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.tails import chi2_sf
-from seriesloom.kernels.rows import pack, run_rows
 from seriesloom.operators.scans import framed
 
 KEYS = ("series_id",)
 
 
-def _products(x: np.ndarray, max_lag: int, demean: bool) -> dict:
-    d = x - x.mean() if demean else x
-    c = [float(d[k:] @ d[:-k]) if k < len(d) else 0.0 for k in range(1, max_lag + 1)]
-    return {"n": len(x), "mean": float(x.mean()), "c0": float(d @ d), "c": c}
-
-
 def lag_products(df: DataFrame, max_lag: int, keys: Sequence[str] = KEYS, value: str = "value",
                  pos: str = "t", demean: bool = True, block: int | None = None) -> DataFrame:
     """``n, mean, c0, c[1..max_lag]``: sums of lagged products.
 
-    A calendar-bounded series is one array row. A finer series (``block`` given)
-    stays in rows: all lags share one segmented window, so the rows are
-    exchanged and sorted once and the sums combine map-side.
+    All lags share one window, so the rows are exchanged and sorted once and the
+    sums combine map-side. A calendar-bounded series is one window over its
+    non-null values; a finer one (``block`` given, positions without gaps) is cut
+    into blocks with a halo of ``max_lag``.
     """
     if block is None:
-        return run_rows(pack(df, keys, value, pos=pos), lambda x, row: _products(x, max_lag, demean),
-                        "n long, mean double, c0 double, c array<double>", list(keys))
+        df = df.filter(F.col(value).isNotNull())
     stats = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
     rows = df.join(stats, list(keys)).withColumn(
         "_d", F.col(value) - F.col("mean") if demean else F.col(value)
