@@ -29,7 +29,7 @@ def naive_scale(train: DataFrame, period: int, keys: Sequence[str] = KEYS) -> Da
 
 
 def pair_errors(actuals: DataFrame, predictions: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Positional alignment of actuals and predictions; unmatched rows stay visible."""
+    """Predictions with their actuals by position; ``origins.aligned`` also shows what is missing."""
     return predictions.join(actuals, list(on), "left")
 
 
@@ -98,13 +98,6 @@ def skill_scores(pooled: DataFrame, references: Sequence[str] = ("Seasonal Naive
                        gain("rmse", "_rmse").alias("rmse_skill"))
 
 
-def origin_counts(statuses: DataFrame, keys: Sequence[str] = ("series_id", "model")) -> DataFrame:
-    """Successful and failed origins per candidate."""
-    return statuses.groupBy(*keys).agg(
-        F.count_if(F.col("status") == "ok").alias("n_origins"),
-        F.count_if(F.col("status") != "ok").alias("n_failed_origins"))
-
-
 def error_variance_by_horizon(errors: DataFrame, keys: Sequence[str] = ("series_id", "model")) -> DataFrame:
     """Sample variance of errors per step; one error gives zero. Steps count from 0."""
     e = F.col("y") - F.col("yhat")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seriesloom.operators import candidates as C
 from seriesloom.operators import folds as FO
 from seriesloom.operators import metrics as M
+from seriesloom.operators import origins as OR
 from seriesloom.operators import selection as S
 from seriesloom.operators.levels import level_fit
 from seriesloom.operators.grid import reindex
@@ -30,7 +31,7 @@ def supplier_backtest(spark, d):
     return E.backtest(P.gridded(P.supplier_raw(spark, d), "MS"), PERIOD, HORIZON)
 
 
-for _p in ("seg", "sup"):
+for _p in ("seg", "sup", "usr"):
     cte(f"{_p}_size", f"""
 SELECT series_id, n, least(12, greatest(1, n // 5)) AS hz, least(CASE WHEN n >= 36 THEN 12 ELSE 0 END, greatest(0, n - 2)) AS fin
 FROM (SELECT series_id, count(*) AS n FROM {_p}_grid GROUP BY 1)""")
@@ -175,16 +176,43 @@ def error_variance_by_h(spark, d):
     return out.select("series_id", "model", "step", *_r("variance", digits=4))
 
 
+cte("usr_status", """
+WITH c AS (SELECT series_id, coalesce(stddev_pop(value) <= 1e-8, false) AS constant FROM usr_grid GROUP BY 1),
+m AS (SELECT unnest(['Constant', 'Naive', 'Seasonal Naive', 'Mean Forecast', 'Drift']) AS model)
+SELECT f.series_id, f.fold, f.kind, model, f.horizon, CASE WHEN train_end < 2 THEN 'skipped' WHEN model = 'Seasonal Naive' AND train_end < 21 THEN 'not_estimable' ELSE 'ok' END AS status
+FROM usr_folds f JOIN c USING (series_id), m WHERE (model = 'Constant') = constant""")
+
+
+def user_backtest(spark, d):
+    """Daily values per user with a season of three weeks: many origins have less training than that."""
+    return E.backtest(P.gridded(P.user_day_raw(spark, d), "D"), 21, HORIZON)
+
+
 @query("origin_counts", """
-SELECT series_id, model, count(DISTINCT fold) AS n_origins, CAST(0 AS BIGINT) AS n_failed_origins FROM sup_pred WHERE kind = 'rolling' GROUP BY 1, 2""")
+SELECT series_id, model, count(*) FILTER (status = 'ok') AS n_origins, count(*) FILTER (status NOT IN ('ok', 'skipped')) AS n_failed_origins
+FROM usr_status WHERE kind = 'rolling' GROUP BY 1, 2""")
 def origin_counts(spark, d):
-    bt = supplier_backtest(spark, d)
-    runs = bt.baselines().filter(F.col("kind") == "rolling").groupBy("series_id", "model", "fold").agg(
-        F.count("yhat").alias("_n"))
-    want = bt.folds.select("series_id", "fold", "kind", "horizon").filter(F.col("kind") == "rolling")
-    joined = runs.join(want, ["series_id", "fold"])
-    status = F.when(F.col("_n") == F.col("horizon"), "ok").otherwise("failed")
-    return M.origin_counts(joined.withColumn("status", status))
+    bt = user_backtest(spark, d)
+    status = bt.origins(bt.baselines(), bt.candidates())
+    return OR.origin_counts(status.filter(F.col("kind") == "rolling"))
+
+
+@query("origin_statuses", """
+SELECT series_id, fold, kind, model, status, CASE status WHEN 'skipped' THEN 'training' WHEN 'not_estimable' THEN 'no_prediction' END AS reason FROM usr_status""")
+def origin_statuses(spark, d):
+    bt = user_backtest(spark, d)
+    return bt.origins(bt.baselines(), bt.candidates())
+
+
+@query("aligned_steps", """
+SELECT model, kind, count(*) AS n_due, count(*) FILTER (status = 'ok' OR (status = 'skipped' AND model NOT IN ('Drift', 'Seasonal Naive'))) AS n_predicted, count(y) AS n_observed
+FROM (SELECT s.*, g.value AS y FROM (SELECT *, unnest(range(1, horizon + 1)) AS h FROM usr_status) s JOIN usr_folds f USING (series_id, fold, kind)
+  LEFT JOIN usr_grid g ON g.series_id = s.series_id AND g.t = f.test_start + s.h - 1) GROUP BY 1, 2""")
+def aligned_steps(spark, d):
+    bt = user_backtest(spark, d)
+    rows = OR.aligned(OR.due(bt.folds, bt.candidates()), bt.baselines(), bt.actuals)
+    return rows.filter("due").groupBy("model", "kind").agg(
+        F.count(F.lit(1)).alias("n_due"), F.count_if("predicted").alias("n_predicted"), F.count("y").alias("n_observed"))
 
 
 @query("model_ranking", "SELECT series_id, rk AS rank, model, round(rmse, 5) AS rmse FROM sup_rank")

@@ -13,6 +13,7 @@ from seriesloom.operators import candidates as C
 from seriesloom.operators import folds as FO
 from seriesloom.operators import fitted as FT
 from seriesloom.operators import metrics as M
+from seriesloom.operators import origins as OR
 from seriesloom.operators import transforms as X
 from seriesloom.operators.impute import impute_training
 from seriesloom.operators.levels import level_fit
@@ -27,7 +28,7 @@ FK = ("series_id", "fold", "kind")
 
 @dataclass(frozen=True)
 class Backtest:
-    """Lazy frames of one evaluation; nothing runs until one is read."""
+    """Frames of one evaluation; the training windows are written when it is made, the rest is lazy."""
 
     panel: DataFrame
     folds: DataFrame
@@ -45,6 +46,16 @@ class Backtest:
     def smoothing(self) -> DataFrame:
         return C.ses_forecasts(stage(level_fit(self.train, FK, ["horizon"]), "level-fit"), FK)
 
+    def candidates(self) -> DataFrame:
+        """The baselines each series should get: a constant one only the constant."""
+        constant = F.coalesce(F.stddev_pop("value") <= 1e-8, F.lit(False))
+        names = F.when(constant, F.array(F.lit("Constant"))).otherwise(F.array(*[F.lit(m) for m in C.BASELINES if m != "Constant"]))
+        return self.panel.groupBy("series_id").agg(names.alias("_m")).select("series_id", F.explode("_m").alias("model"))
+
+    def origins(self, predictions: DataFrame, candidates: DataFrame, fits: DataFrame | None = None) -> DataFrame:
+        """Status of every origin and candidate, whether it gave rows or not."""
+        return OR.origin_status(OR.aligned(OR.due(self.folds, candidates), predictions, self.actuals), fits)
+
     def errors(self, predictions: DataFrame, kind: str = "rolling") -> DataFrame:
         """Aligned errors with the scale of the first fold (or of the final window)."""
         mine = predictions.filter(F.col("kind") == kind)
@@ -96,13 +107,28 @@ def baseline_refit(panel: DataFrame, period: int, horizon: int, freq: str, block
     return preds.join(stamps.withColumn("h", F.col("_i") + 1).drop("_i"), ["series_id", "h"])
 
 
+def with_fallback(refits: DataFrame, chosen: DataFrame, order: list[str]) -> DataFrame:
+    """Forecast rows of one model per series, and how it came to be: ``status``.
+
+    ``ok``: the selected model; ``fallback``: a series without a selection, or whose
+    selected model has no refit, takes the first of ``order`` that has one.
+    """
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col("model")).cast("int"), F.lit(0))
+    have = refits.groupBy("series_id", "model").agg(F.min("ord").alias("_o")).join(chosen.select("series_id", F.col("model").alias("_want"), *[c for c in chosen.columns if c not in ("series_id", "model")]), "series_id", "left")
+    mine = F.coalesce(F.col("model") == F.col("_want"), F.lit(False))
+    rank = F.struct((~mine).alias("other"), (place == 0).alias("unlisted"), place.alias("p"), F.col("_o").alias("o"))
+    extra = [c for c in chosen.columns if c not in ("series_id", "model")]
+    best = have.groupBy("series_id").agg(F.min_by(F.struct("model", F.when(mine, "ok").otherwise("fallback").alias("status"), *[F.when(mine, F.col(c)).alias(c) for c in extra]), rank).alias("_b"))
+    return refits.join(best.select("series_id", "_b.*"), ["series_id", "model"])
+
+
 def best_baseline_forecast(panel: DataFrame, period: int, horizon: int, freq: str,
                            loss: str = "rmse") -> DataFrame:
-    """Select the best baseline per series by rolling-origin loss and forecast with it."""
+    """Select the best baseline per series by rolling-origin loss and forecast with it; no series is lost."""
     bt = backtest(panel, period, horizon)
     chosen = select_models(pooled_evidence(bt, bt.baselines()), (loss,)).select(
         "series_id", F.col("selected_model").alias("model"), "selected_rmse")
-    return baseline_refit(panel, period, horizon, freq).join(chosen, ["series_id", "model"])
+    return with_fallback(baseline_refit(panel, period, horizon, freq), chosen, list(C.BASELINES))
 
 
 def transform_choice(panel: DataFrame) -> DataFrame:
@@ -185,8 +211,8 @@ def production_fits(panel: DataFrame, period: int, horizon: int, freq: str) -> D
 
 
 def production_forecast(panel: DataFrame, period: int, horizon: int, freq: str, loss: str = "mase") -> DataFrame:
-    """Selected model per series by rolling-origin loss, refitted and forecast."""
+    """Selected model per series by rolling-origin loss, refitted and forecast; no series is lost (``with_fallback``)."""
     bt = backtest(panel, period, horizon)
     chosen = select_models(pooled_evidence(bt, all_predictions(bt)), (loss,)).select(
         "series_id", F.col("selected_model").alias("model"))
-    return production_fits(panel, period, horizon, freq).join(chosen, ["series_id", "model"])
+    return with_fallback(production_fits(panel, period, horizon, freq), chosen, ["Seasonal Naive", "Naive", "Drift", "Mean Forecast", "Constant"])
