@@ -5,6 +5,10 @@ A string of ``length`` bytes that occurs twice is removed from both places.
 * Every window of that length has an anchor: the rightmost least q-gram inside
   it. Equal windows have equal anchors at equal places, so the first buckets
   hold the windows by the q-gram at their anchor. Singleton buckets are done.
+* A bucket is refined by the identifiers of later and earlier offsets: windows
+  whose anchors lie in one stretch of places share most of their bytes, and the
+  identifier of those bytes parts the bucket. Parts that are single are done,
+  so text that repeats for only a q-gram goes no further than two identifiers.
 * The windows around one anchor lie side by side. They are named together by
   the identifier of the text they span: places with the same identifier are
   resolved at once and go on as one.
@@ -35,9 +39,11 @@ from seriesloom.staging import stage
 
 LENGTH = 200
 Q = 32
+# stretches of anchor places that get an identifier of their own
+PARTS = 4
 HOT = 20_000
 WORK_BYTES = 2 << 20
-_GRAM, _ONE, _TWO, _WINDOW = (seeded(256, s) for s in (81, 82, 83, 84))
+_GRAM, _ONE, _TWO, _WINDOW, _PART = (seeded(256, s) for s in (81, 82, 83, 84, 85))
 
 
 def anchors(texts: Texts, powers: Powers, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,8 +85,41 @@ def bucket_sizes(docs: DataFrame, length: int, q: int) -> DataFrame:
     return bounded_batches(docs.select("doc_id", "text")).mapInArrow(released(work), "aid long, n long").groupBy("aid").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
-def window_runs(docs: DataFrame, member: np.ndarray, length: int, q: int) -> DataFrame:
-    """Runs of windows whose bucket may have several, with the identifier and (once a task) the bytes they span."""
+def part_ids(span: SpanHash, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Run and identifier of the parts of each run of windows.
+
+    A part holds the windows whose anchor lies in one stretch of places. All of
+    them cover the q-gram at the anchor and what surrounds it as far as the
+    stretch allows; the identifier stands for those bytes. Equal windows have
+    equal anchors at equal places, so they lie in parts with equal identifiers.
+    """
+    width = -(-(length - q + 1) // PARTS)
+    runs, ids = [], []
+    for p in range(PARTS):
+        low, high = width * p, min(width * (p + 1) - 1, length - q)
+        has = np.flatnonzero((anchor - first >= low) & (anchor - last <= high))
+        runs.append(has)
+        ids.append(mix(span(anchor[has] - low, anchor[has] + length - high) + np.uint64(p + 1)))
+    return np.concatenate(runs), np.concatenate(ids)
+
+
+def part_sizes(docs: DataFrame, member: np.ndarray, length: int, q: int) -> DataFrame:
+    """(pid, n) of the parts that occur more than once, among the runs whose q-gram bucket may have several."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for texts in slices(batches):
+            anchor, gram, first, last = anchors(texts, powers, length, q)
+            keep = filters.contains(member, gram)
+            _, ids = part_ids(SpanHash(_PART, powers, texts.data), anchor[keep], first[keep], last[keep], length, q)
+            ids, n = np.unique(ids, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n)], names=["pid", "n"])
+
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(released(work), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("n")).filter("n > 1")
+
+
+def window_runs(docs: DataFrame, member: np.ndarray, parts: np.ndarray, length: int, q: int) -> DataFrame:
+    """Runs of windows whose bucket and one of whose parts may have several, with the identifier and (once a task) the bytes they span."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, others, seen = Powers(), Powers(1), set()
@@ -88,6 +127,9 @@ def window_runs(docs: DataFrame, member: np.ndarray, length: int, q: int) -> Dat
             anchor, gram, first, last = anchors(texts, powers, length, q)
             keep = filters.contains(member, gram)
             anchor, gram, first, last = anchor[keep], gram[keep], first[keep], last[keep]
+            runs, ids = part_ids(SpanHash(_PART, powers, texts.data), anchor, first, last, length, q)
+            keep = np.unique(runs[filters.contains(parts, ids)])
+            gram, first, last = gram[keep], first[keep], last[keep]
             one, two = (SpanHash(t, p, texts.data)(first, last + length) for t, p in ((_ONE, powers), (_TWO, others)))
             row = np.searchsorted(texts.offsets, first, "right") - 1
             body, around = texts.data.tobytes(), []
@@ -187,7 +229,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
     each other. Null texts have kept null and zero counts.
     """
     buckets = stage(bucket_sizes(docs, length, q), "suffix-buckets")
-    runs = window_runs(docs, filters.build(buckets.select("aid"), buckets.count()), length, q)
+    member = filters.build(buckets.select("aid"), buckets.count())
+    again = stage(part_sizes(docs, member, length, q).select("pid"), "suffix-parts")
+    runs = window_runs(docs, member, filters.build(again, again.count()), length, q)
     named = runs.groupBy("aid", "one", "two").agg(F.count(F.lit(1)).alias("n"), F.first("around", ignorenulls=True).alias("around"))
     large = buckets.filter(F.col("n") > hot).select("aid", F.ceil(F.col("n") / hot).alias("ways"))
     if large.isEmpty():
