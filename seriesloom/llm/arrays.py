@@ -37,8 +37,7 @@ _HALF = np.uint64(31)
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
-    """Values below 2**64 as values below 2**31 + 2 with the same remainder modulo ``PRIME``."""
-    x = (x & PRIME) + (x >> _HALF)
+    """Values below 2**62 as values of at most 2**31 with the same remainder modulo ``PRIME``."""
     x = (x & PRIME) + (x >> _HALF)
     return (x & PRIME) + (x >> _HALF)
 
@@ -88,9 +87,18 @@ class SpanHash:
             np.cumsum(terms, out=sums[1:])
             self.sums.append(sums)
 
+    def _mixed(self, parts: list[np.ndarray], length: np.ndarray | np.uint64) -> np.ndarray:
+        for part in parts:
+            part -= PRIME * (part >= PRIME)
+        return mix((parts[0] << _HALF | parts[1]) + length * _ODD)
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        one, two = (_fold(_fold(sums[end] - sums[start]) * down[start]) % PRIME for sums, down in zip(self.sums, self.powers.down, strict=True))
-        return mix((one << _HALF | two) + (end - start).astype(np.uint64) * _ODD)
+        return self._mixed([_fold(_fold(sums[end] - sums[start]) * down[start]) for sums, down in zip(self.sums, self.powers.down, strict=True)], (end - start).astype(np.uint64))
+
+    def windows(self, length: int) -> np.ndarray:
+        """Hashes of all spans of one length, by their starts."""
+        n = len(self.sums[0]) - length
+        return self._mixed([_fold(_fold(sums[length:] - sums[:n]) * down[:n]) for sums, down in zip(self.sums, self.powers.down, strict=True)], np.array([length], np.uint64))
 
 
 class Texts:

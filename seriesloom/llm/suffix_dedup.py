@@ -53,7 +53,7 @@ def anchors(texts: Texts, powers: Powers, length: int, q: int) -> tuple[np.ndarr
     if n < length:
         return none, none.astype(np.uint64), none, none
     at = np.arange(n - q + 1)
-    gram = SpanHash(_GRAM, powers, texts.data)(at, at + q)
+    gram = SpanHash(_GRAM, powers, texts.data).windows(q)
     key = (gram & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - (at & 0xFFFFFFFF).astype(np.uint64))
     width, span = length - q + 1, 1
     while 2 * span <= width:
@@ -118,56 +118,84 @@ def part_sizes(docs: DataFrame, member: np.ndarray, length: int, q: int) -> Data
     return bounded_batches(docs.select("doc_id", "text")).mapInArrow(released(work), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
+def _members(texts: Texts, powers: Powers, others: Powers, member: np.ndarray, parts: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
+    """Bucket, first and last window, and identifier (twice 62 bits) of what they span, of the runs that may have several."""
+    anchor, gram, first, last = anchors(texts, powers, length, q)
+    keep = filters.contains(member, gram)
+    anchor, gram, first, last = anchor[keep], gram[keep], first[keep], last[keep]
+    runs, ids = part_ids(SpanHash(_PART, powers, texts.data), anchor, first, last, length, q)
+    keep = np.unique(runs[filters.contains(parts, ids)])
+    gram, first, last = gram[keep], first[keep], last[keep]
+    one, two = (SpanHash(t, p, texts.data)(first, last + length) for t, p in ((_ONE, powers), (_TWO, others)))
+    return gram, first, last, one, two
+
+
 def window_runs(docs: DataFrame, member: np.ndarray, parts: np.ndarray, length: int, q: int) -> DataFrame:
-    """Runs of windows whose bucket and one of whose parts may have several, with the identifier and (once a task) the bytes they span."""
+    """Runs of windows whose bucket and one of whose parts may have several, by identifiers alone."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, others, seen = Powers(), Powers(1), set()
+        powers, others = Powers(), Powers(1)
         for texts in slices(batches):
-            anchor, gram, first, last = anchors(texts, powers, length, q)
-            keep = filters.contains(member, gram)
-            anchor, gram, first, last = anchor[keep], gram[keep], first[keep], last[keep]
-            runs, ids = part_ids(SpanHash(_PART, powers, texts.data), anchor, first, last, length, q)
-            keep = np.unique(runs[filters.contains(parts, ids)])
-            gram, first, last = gram[keep], first[keep], last[keep]
-            one, two = (SpanHash(t, p, texts.data)(first, last + length) for t, p in ((_ONE, powers), (_TWO, others)))
+            gram, first, last, one, two = _members(texts, powers, others, member, parts, length, q)
             row = np.searchsorted(texts.offsets, first, "right") - 1
-            body, around = texts.data.tobytes(), []
-            if len(seen) > 1_000_000:
-                seen.clear()
-            for k, a, b in zip(zip(gram.tolist(), one.tolist(), strict=True), first.tolist(), (last + length).tolist(), strict=True):
-                around.append(None if k in seen else body[a:b])
-                seen.add(k)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(gram.view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), texts.rows.column(0).take(at), texts.rows.column(1).take(at),
-                 pa.array((first - texts.offsets[row]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array(around, pa.binary())],
-                names=["aid", "one", "two", "doc_id", "tk", "first", "windows", "around"])
+                 pa.array((first - texts.offsets[row]).astype(np.int32)), pa.array((last - first + length).astype(np.int32))],
+                names=["aid", "one", "two", "doc_id", "tk", "first", "span"])
 
     return bounded_batches(docs.select("doc_id", text_key().alias("tk"), "text")).mapInArrow(
-        released(work), "aid long, one long, two long, doc_id long, tk long, first int, windows int, around binary")
+        released(work), "aid long, one long, two long, doc_id long, tk long, first int, span int")
 
 
-def _split_hot(hot: DataFrame, length: int) -> DataFrame:
-    """Windows of large buckets, dealt to ``ways`` parts by their identifier."""
+def surroundings(docs: DataFrame, member: np.ndarray, parts: np.ndarray, mixed: np.ndarray, length: int, q: int) -> DataFrame:
+    """(aid, one, two, around): the bytes each identifier of a ``mixed`` bucket stands for, about once a task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, others, seen = Powers(), Powers(1), set()
+        for texts in slices(batches):
+            gram, first, last, one, two = _members(texts, powers, others, member, parts, length, q)
+            keep = filters.contains(mixed, gram)
+            gram, first, last, one, two = gram[keep], first[keep], last[keep], one[keep], two[keep]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            new = []
+            for i, k in enumerate(zip(gram.tolist(), one.tolist(), strict=True)):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            body = texts.data.tobytes()
+            around = [body[a:b] for a, b in zip(first[new].tolist(), (last[new] + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[new].view(np.int64)) for c in (gram, one, two)), pa.array(around, pa.binary())], names=["aid", "one", "two", "around"])
+
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(released(work), "aid long, one long, two long, around binary")
+
+
+def _dealt(rows: DataFrame, length: int) -> DataFrame:
+    """Surroundings as they are; of buckets with ``ways``, their windows dealt to that many parts by identifier."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             data, offsets, _ = buffers(batch.column(4))
-            span = SpanHash(_WINDOW, powers, data)
-            out: list[list] = [[] for _ in range(6)]
-            for i, (aid, one, two, n, ways) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True)):
+            span = None
+            out: list[list] = [[] for _ in range(7)]
+            for i, (aid, one, two, n, around, ways) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if ways is None:
+                    for column, x in zip(out, (aid, 0, one, two, n, around, None), strict=True):
+                        column.append(x)
+                    continue
+                span = span or SpanHash(_WINDOW, powers, data)
                 start = np.arange(offsets[i], offsets[i + 1] - length + 1)
                 ids = span(start, start + length)
                 part = (ids % np.uint64(ways)).astype(np.int64)
                 for p in np.unique(part).tolist():
                     has = np.flatnonzero(part == p)
-                    for column, x in zip(out, (aid, p, one, two, n, has.astype("<i4").tobytes() + ids[has].tobytes()), strict=True):
+                    for column, x in zip(out, (aid, p, one, two, n, None, has.astype("<i4").tobytes() + ids[has].tobytes()), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 5, pa.binary()), strict=True)], names=["aid", "part", "one", "two", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 5, pa.binary(), pa.binary()), strict=True)], names=["aid", "part", "one", "two", "n", "around", "ids"])
 
-    return hot.mapInArrow(released(work), "aid long, part long, one long, two long, n long, ids binary")
+    return bounded_batches(rows.select("aid", "one", "two", "n", "around", "ways")).mapInArrow(released(work), "aid long, part long, one long, two long, n long, around binary, ids binary")
 
 
 def _refine(table: pd.DataFrame, powers: Powers, length: int) -> pa.RecordBatch:
@@ -188,7 +216,8 @@ def _refine(table: pd.DataFrame, powers: Powers, length: int) -> pa.RecordBatch:
         ids = np.append(ids, np.frombuffer(packed, np.uint64, k, 4 * k))
     bucket = pd.factorize(pd.Series(list(zip(table["aid"], table["part"], strict=True))))[0].astype(np.uint64)
     codes, _ = pd.factorize(mix(ids + bucket[owner] * np.uint64(0x9FB21C651E98DF25)))
-    again = (np.bincount(codes)[codes] > 1) | (table["n"].to_numpy() > 1)[owner] if len(codes) else np.zeros(0, bool)
+    # surroundings that occur whole a second time are resolved already and only lend their windows
+    again = (np.bincount(codes)[codes] > 1) & (table["n"].to_numpy() == 1)[owner] if len(codes) else np.zeros(0, bool)
     owner, index = owner[again], index[again]
     order = np.lexsort((index, owner))
     owner, index = owner[order], index[order]
@@ -231,17 +260,19 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
     buckets = stage(bucket_sizes(docs, length, q), "suffix-buckets")
     member = filters.build(buckets.select("aid"), buckets.count())
     again = stage(part_sizes(docs, member, length, q).select("pid"), "suffix-parts")
-    runs = window_runs(docs, member, filters.build(again, again.count()), length, q)
-    named = runs.groupBy("aid", "one", "two").agg(F.count(F.lit(1)).alias("n"), F.first("around", ignorenulls=True).alias("around"))
-    large = buckets.filter(F.col("n") > hot).select("aid", F.ceil(F.col("n") / hot).alias("ways"))
-    if large.isEmpty():
-        distinct = named.select("aid", F.lit(0).cast("long").alias("part"), "one", "two", "n", "around", F.lit(None).cast("binary").alias("ids"))
-    else:
-        some = named.join(large, "aid", "left").select("aid", "one", "two", "n", "around", "ways")
-        plain = some.filter("ways is null").select("aid", F.lit(0).cast("long").alias("part"), "one", "two", "n", "around", F.lit(None).cast("binary").alias("ids"))
-        split = _split_hot(some.filter("ways is not null"), length)
-        distinct = plain.unionByName(split.withColumn("around", F.lit(None).cast("binary")))
-    ranges = stage(repeated_ranges(distinct, length), "suffix-ranges")
-    spans = runs.select("aid", "one", "two", "doc_id", "tk", "first").join(ranges, ["aid", "one", "two"]).select(
+    parts = filters.build(again, again.count())
+    runs = stage(window_runs(docs, member, parts, length, q), "suffix-runs")
+    key = ["aid", "one", "two"]
+    named = stage(runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("span").alias("span")), "suffix-named")
+    # what occurs whole a second time is resolved; the rest of its bucket is compared window by window
+    whole = named.filter("n > 1").select(*key, F.lit(0).alias("low"), F.col("span").alias("high"))
+    mixed = stage(named.groupBy("aid").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("aid"), "suffix-mixed")
+    around = surroundings(docs, member, parts, filters.build(mixed, mixed.count()), length, q).groupBy(*key).agg(F.first("around").alias("around"))
+    # few buckets are that large; written, their size decides how they are joined
+    large = stage(buckets.filter(F.col("n") > hot).select("aid", F.ceil(F.col("n") / hot).alias("ways")), "suffix-large")
+    rows = around.join(named.select(*key, "n"), key).join(large, "aid", "left")
+    partly = repeated_ranges(_dealt(rows, length), length).select(*key, "low", "high")
+    ranges = stage(whole.unionByName(partly), "suffix-ranges")
+    spans = runs.select(*key, "doc_id", "tk", "first").join(ranges, key).select(
         "doc_id", "tk", (F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high")).alias("stop"))
     return cut(with_spans(docs, spans))
