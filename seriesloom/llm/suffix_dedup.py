@@ -43,7 +43,7 @@ Q = 32
 PARTS = 4
 HOT = 20_000
 WORK_BYTES = 2 << 20
-_GRAM, _ONE, _TWO, _WINDOW, _PART = (seeded(256, s) for s in (81, 82, 83, 84, 85))
+_GRAM, _ONE, _WINDOW, _PART = (seeded(256, s) for s in (81, 82, 84, 85))
 
 
 def anchors(texts: Texts, powers: Powers, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,9 +61,7 @@ def anchors(texts: Texts, powers: Powers, length: int, q: int) -> tuple[np.ndarr
         span *= 2
     if width > span:
         key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
-    start = np.arange(n - length + 1)
-    row = np.searchsorted(texts.offsets, start, "right") - 1
-    start = start[start + length <= texts.offsets[row + 1]]
+    start = expand(texts.offsets[:-1], np.maximum(np.diff(texts.offsets) - length + 1, 0))
     low = 0xFFFFFFFF - (key[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     anchor = start + ((low - start) & 0xFFFFFFFF)
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)]) if len(start) else none
@@ -119,15 +117,14 @@ def part_sizes(docs: DataFrame, member: np.ndarray, length: int, q: int) -> Data
 
 
 def _members(texts: Texts, powers: Powers, others: Powers, member: np.ndarray, parts: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
-    """Bucket, first and last window, and identifier (twice 62 bits) of what they span, of the runs that may have several."""
+    """Bucket, first and last window, and identifier (of other bases than the bucket's) of what they span, of the runs that may have several."""
     anchor, gram, first, last = anchors(texts, powers, length, q)
     keep = filters.contains(member, gram)
     anchor, gram, first, last = anchor[keep], gram[keep], first[keep], last[keep]
     runs, ids = part_ids(SpanHash(_PART, powers, texts.data), anchor, first, last, length, q)
     keep = np.unique(runs[filters.contains(parts, ids)])
     gram, first, last = gram[keep], first[keep], last[keep]
-    one, two = (SpanHash(t, p, texts.data)(first, last + length) for t, p in ((_ONE, powers), (_TWO, others)))
-    return gram, first, last, one, two
+    return gram, first, last, SpanHash(_ONE, others, texts.data)(first, last + length)
 
 
 def window_runs(docs: DataFrame, member: np.ndarray, parts: np.ndarray, length: int, q: int) -> DataFrame:
@@ -136,27 +133,27 @@ def window_runs(docs: DataFrame, member: np.ndarray, parts: np.ndarray, length:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, others = Powers(), Powers(1)
         for texts in slices(batches):
-            gram, first, last, one, two = _members(texts, powers, others, member, parts, length, q)
+            gram, first, last, one = _members(texts, powers, others, member, parts, length, q)
             row = np.searchsorted(texts.offsets, first, "right") - 1
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), texts.rows.column(0).take(at), texts.rows.column(1).take(at),
+                [pa.array(gram.view(np.int64)), pa.array(one.view(np.int64)), texts.rows.column(0).take(at), texts.rows.column(1).take(at),
                  pa.array((first - texts.offsets[row]).astype(np.int32)), pa.array((last - first + length).astype(np.int32))],
-                names=["aid", "one", "two", "doc_id", "tk", "first", "span"])
+                names=["aid", "one", "doc_id", "tk", "first", "span"])
 
     return bounded_batches(docs.select("doc_id", text_key().alias("tk"), "text")).mapInArrow(
-        released(work), "aid long, one long, two long, doc_id long, tk long, first int, span int")
+        released(work), "aid long, one long, doc_id long, tk long, first int, span int")
 
 
 def surroundings(docs: DataFrame, member: np.ndarray, parts: np.ndarray, mixed: np.ndarray, length: int, q: int) -> DataFrame:
-    """(aid, one, two, around): the bytes each identifier of a ``mixed`` bucket stands for, about once a task."""
+    """(aid, one, around): the bytes each identifier of a ``mixed`` bucket stands for, about once a task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, others, seen = Powers(), Powers(1), set()
         for texts in slices(batches):
-            gram, first, last, one, two = _members(texts, powers, others, member, parts, length, q)
+            gram, first, last, one = _members(texts, powers, others, member, parts, length, q)
             keep = filters.contains(mixed, gram)
-            gram, first, last, one, two = gram[keep], first[keep], last[keep], one[keep], two[keep]
+            gram, first, last, one = gram[keep], first[keep], last[keep], one[keep]
             if len(seen) > 1_000_000:
                 seen.clear()
             new = []
@@ -166,9 +163,9 @@ def surroundings(docs: DataFrame, member: np.ndarray, parts: np.ndarray, mixed:
                     new.append(i)
             body = texts.data.tobytes()
             around = [body[a:b] for a, b in zip(first[new].tolist(), (last[new] + length).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[new].view(np.int64)) for c in (gram, one, two)), pa.array(around, pa.binary())], names=["aid", "one", "two", "around"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[new].view(np.int64)) for c in (gram, one)), pa.array(around, pa.binary())], names=["aid", "one", "around"])
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(released(work), "aid long, one long, two long, around binary")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(released(work), "aid long, one long, around binary")
 
 
 def _dealt(rows: DataFrame, length: int) -> DataFrame:
@@ -177,12 +174,12 @@ def _dealt(rows: DataFrame, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            data, offsets, _ = buffers(batch.column(4))
+            data, offsets, _ = buffers(batch.column(3))
             span = None
-            out: list[list] = [[] for _ in range(7)]
-            for i, (aid, one, two, n, around, ways) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            out: list[list] = [[] for _ in range(6)]
+            for i, (aid, one, n, around, ways) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 if ways is None:
-                    for column, x in zip(out, (aid, 0, one, two, n, around, None), strict=True):
+                    for column, x in zip(out, (aid, 0, one, n, around, None), strict=True):
                         column.append(x)
                     continue
                 span = span or SpanHash(_WINDOW, powers, data)
@@ -191,11 +188,11 @@ def _dealt(rows: DataFrame, length: int) -> DataFrame:
                 part = (ids % np.uint64(ways)).astype(np.int64)
                 for p in np.unique(part).tolist():
                     has = np.flatnonzero(part == p)
-                    for column, x in zip(out, (aid, p, one, two, n, None, has.astype("<i4").tobytes() + ids[has].tobytes()), strict=True):
+                    for column, x in zip(out, (aid, p, one, n, None, has.astype("<i4").tobytes() + ids[has].tobytes()), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 5, pa.binary(), pa.binary()), strict=True)], names=["aid", "part", "one", "two", "n", "around", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.binary(), pa.binary()), strict=True)], names=["aid", "part", "one", "n", "around", "ids"])
 
-    return bounded_batches(rows.select("aid", "one", "two", "n", "around", "ways")).mapInArrow(released(work), "aid long, part long, one long, two long, n long, around binary, ids binary")
+    return bounded_batches(rows.select("aid", "one", "n", "around", "ways")).mapInArrow(released(work), "aid long, part long, one long, n long, around binary, ids binary")
 
 
 def _refine(table: pd.DataFrame, powers: Powers, length: int) -> pa.RecordBatch:
@@ -225,11 +222,11 @@ def _refine(table: pd.DataFrame, powers: Powers, length: int) -> pa.RecordBatch:
     last = np.append(new[1:], len(owner))[: len(new)] - 1
     who = table.iloc[owner[new]]
     return pa.RecordBatch.from_arrays(
-        [*(pa.array(who[c].to_numpy(np.int64)) for c in ("aid", "one", "two")), pa.array(index[new], pa.int32()), pa.array(index[last] + length, pa.int32())], names=["aid", "one", "two", "low", "high"])
+        [*(pa.array(who[c].to_numpy(np.int64)) for c in ("aid", "one")), pa.array(index[new], pa.int32()), pa.array(index[last] + length, pa.int32())], names=["aid", "one", "low", "high"])
 
 
 def repeated_ranges(distinct: DataFrame, length: int) -> DataFrame:
-    """(aid, one, two, low, high): byte ranges, within what an identifier spans, covered by repeated windows."""
+    """(aid, one, low, high): byte ranges, within what an identifier spans, covered by repeated windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, size, last = Powers(), [], 0, None
@@ -246,7 +243,7 @@ def repeated_ranges(distinct: DataFrame, length: int) -> DataFrame:
             yield _refine(pd.DataFrame(held), powers, length)
 
     dealt = distinct.repartition("aid", "part").sortWithinPartitions("aid", "part")
-    return bounded_batches(dealt).mapInArrow(released(work), "aid long, one long, two long, low int, high int")
+    return bounded_batches(dealt).mapInArrow(released(work), "aid long, one long, low int, high int")
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
@@ -262,7 +259,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
     again = stage(part_sizes(docs, member, length, q).select("pid"), "suffix-parts")
     parts = filters.build(again, again.count())
     runs = stage(window_runs(docs, member, parts, length, q), "suffix-runs")
-    key = ["aid", "one", "two"]
+    key = ["aid", "one"]
     named = stage(runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("span").alias("span")), "suffix-named")
     # what occurs whole a second time is resolved; the rest of its bucket is compared window by window
     whole = named.filter("n > 1").select(*key, F.lit(0).alias("low"), F.col("span").alias("high"))
