@@ -43,6 +43,8 @@ Q = 32
 PARTS = 4
 HOT = 20_000
 WORK_BYTES = 2 << 20
+# many arrays of eight bytes a byte stay in the processor's cache
+SLICE_BYTES = 1 << 18
 _GRAM, _ONE, _WINDOW, _PART = (seeded(256, s) for s in (81, 82, 84, 85))
 
 
@@ -74,7 +76,7 @@ def bucket_sizes(docs: DataFrame, length: int, q: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for texts in slices(batches):
+        for texts in slices(batches, limit=SLICE_BYTES):
             _, gram, first, last = anchors(texts, powers, length, q)
             # a run of several windows over one periodic text holds copies of itself only if its anchor comes again
             ids, n = np.unique(gram, return_counts=True)
@@ -106,7 +108,7 @@ def part_sizes(docs: DataFrame, member: np.ndarray, length: int, q: int) -> Data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for texts in slices(batches):
+        for texts in slices(batches, limit=SLICE_BYTES):
             anchor, gram, first, last = anchors(texts, powers, length, q)
             keep = filters.contains(member, gram)
             _, ids = part_ids(SpanHash(_PART, powers, texts.data), anchor[keep], first[keep], last[keep], length, q)
@@ -132,7 +134,7 @@ def window_runs(docs: DataFrame, member: np.ndarray, parts: np.ndarray, length:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, others = Powers(), Powers(1)
-        for texts in slices(batches):
+        for texts in slices(batches, limit=SLICE_BYTES):
             gram, first, last, one = _members(texts, powers, others, member, parts, length, q)
             row = np.searchsorted(texts.offsets, first, "right") - 1
             at = pa.array(row)
@@ -145,15 +147,14 @@ def window_runs(docs: DataFrame, member: np.ndarray, parts: np.ndarray, length:
         released(work), "aid long, one long, doc_id long, tk long, first int, span int")
 
 
-def surroundings(docs: DataFrame, member: np.ndarray, parts: np.ndarray, mixed: np.ndarray, length: int, q: int) -> DataFrame:
+def surroundings(docs: DataFrame, parts: np.ndarray, mixed: np.ndarray, length: int, q: int) -> DataFrame:
     """(aid, one, around): the bytes each identifier of a ``mixed`` bucket stands for, about once a task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, others, seen = Powers(), Powers(1), set()
-        for texts in slices(batches):
-            gram, first, last, one = _members(texts, powers, others, member, parts, length, q)
-            keep = filters.contains(mixed, gram)
-            gram, first, last, one = gram[keep], first[keep], last[keep], one[keep]
+        for texts in slices(batches, limit=SLICE_BYTES):
+            # buckets that are mixed are among those that may have several
+            gram, first, last, one = _members(texts, powers, others, mixed, parts, length, q)
             if len(seen) > 1_000_000:
                 seen.clear()
             new = []
@@ -264,7 +265,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
     # what occurs whole a second time is resolved; the rest of its bucket is compared window by window
     whole = named.filter("n > 1").select(*key, F.lit(0).alias("low"), F.col("span").alias("high"))
     mixed = stage(named.groupBy("aid").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("aid"), "suffix-mixed")
-    around = surroundings(docs, member, parts, filters.build(mixed, mixed.count()), length, q).groupBy(*key).agg(F.first("around").alias("around"))
+    around = surroundings(docs, parts, filters.build(mixed, mixed.count()), length, q).groupBy(*key).agg(F.first("around").alias("around"))
     # few buckets are that large; written, their size decides how they are joined
     large = stage(buckets.filter(F.col("n") > hot).select("aid", F.ceil(F.col("n") / hot).alias("ways")), "suffix-large")
     rows = around.join(named.select(*key, "n"), key).join(large, "aid", "left")
