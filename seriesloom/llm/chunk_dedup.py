@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import filters
 from seriesloom.llm.arrays import Powers, SpanHash, Texts, mix, released, seeded, slices
-from seriesloom.llm.cutting import cut, text_key, with_spans
+from seriesloom.llm.cutting import ADDED, cut, text_key, with_spans
 from seriesloom.llm.tables import bounded_batches
 from seriesloom.staging import stage
 
@@ -97,12 +97,13 @@ def substring_dedup(docs: DataFrame, least_run: int = 1) -> DataFrame:
     """Remove repeated chunks from texts.
 
     Adds n_bytes, n_removed, n_spans and kept (bytes of the remaining text) in
-    place of text; other columns stay. Every chunk between two ends counts; only
+    place of text; other columns stay, those with an added name are replaced. Every chunk between two ends counts; only
     the first and last of a text can have under 22 bytes, and then don't. Runs of
     neighbouring copies under ``least_run`` bytes stay (default: all go). Null
     texts have kept null. Rows that repeat a doc_id and its text count once, so
     both are treated alike. A null doc_id comes before all others.
     """
+    docs = docs.drop(*ADDED)
     copied = stage(chunks(docs).groupBy("one").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one"), "chunk-copied")
     count = copied.count()
     some = stage(chunks(docs, filters.build(copied, count)), "chunk-rows")

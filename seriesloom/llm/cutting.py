@@ -18,6 +18,10 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+#: Columns that cutting adds; columns of ``docs`` with these names are replaced.
+ADDED = ("kept", "spans", "n_bytes", "n_removed", "n_spans", "_id", "_tk", "_k")
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the array ``spans`` of its rows (start, stop) in ``spans`` (doc_id, tk, start, stop)."""
     grouped = spans.groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import filters
 from seriesloom.llm.arrays import Powers, SpanHash, Texts, buffers, expand, mix, released, seeded, slices
-from seriesloom.llm.cutting import cut, text_key, with_spans
+from seriesloom.llm.cutting import ADDED, cut, text_key, with_spans
 from seriesloom.llm.tables import bounded_batches
 from seriesloom.staging import stage
 
@@ -251,10 +251,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
     """Remove each byte covered by a ``length``-byte string that starts anywhere else too.
 
     Adds kept (remaining bytes), n_bytes, n_removed and n_spans in place of
-    text; other columns stay. Matches never cross rows and are judged on the
+    text; other columns stay, those with an added name are replaced. Matches never cross rows and are judged on the
     texts as they came. Rows that repeat a doc_id and its text are copies of
     each other. Null texts have kept null and zero counts.
     """
+    docs = docs.drop(*ADDED)
     buckets = stage(bucket_sizes(docs, length, q), "suffix-buckets")
     member = filters.build(buckets.select("aid"), buckets.count())
     again = stage(part_sizes(docs, member, length, q).select("pid"), "suffix-parts")

@@ -98,6 +98,14 @@ def test_removed_bytes_have_a_copy(pair):
         assert len(kept) + r["n_removed"] == len(bodies[r["doc_id"]])
 
 
+def test_columns_with_added_names_are_replaced(pair):
+    clashing = pair.selectExpr("*", "1 AS kept", "2 AS spans", "3 AS n_bytes", "4 AS n_removed", "5 AS n_spans", "6 AS extra")
+    for cut in (suffix_dedup.repeated_bytes, chunk_dedup.substring_dedup):
+        rows = cut(clashing).collect()
+        assert len(rows) == 4 and {r["extra"] for r in rows} == {6}
+        assert sorted(r["n_bytes"] for r in rows) == [2048, 2048, 4097, 4097]
+
+
 WORKERS = """
 import sys
 sys.path.insert(0, {repo!r})
