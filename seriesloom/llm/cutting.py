@@ -32,7 +32,7 @@ def cut(docs: DataFrame, least: int = 1) -> DataFrame:
     """Replace text by what the merged ``spans`` leave of it, and describe the cut.
 
     Adds kept (bytes), n_bytes, n_removed and n_spans. Merged spans shorter than
-    ``least`` bytes stay in the text. Null texts stay null with zero counts.
+    ``least`` bytes stay in the text, unless they cover it. Null texts stay null with zero counts.
     """
     rest = [c for c in docs.columns if c not in ("text", "spans")]
 
@@ -53,10 +53,10 @@ def cut(docs: DataFrame, least: int = 1) -> DataFrame:
                 gone = np.cumsum(step[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                 first, last = edge[::2], edge[1::2]
-                if least > 1:
-                    for a, b in zip(first[last - first < least], last[last - first < least], strict=True):
-                        gone[a:b] = False
-                    first, last = first[last - first >= least], last[last - first >= least]
+                stays = (last - first < least) & (last - first < len(body))
+                for a, b in zip(first[stays], last[stays], strict=True):
+                    gone[a:b] = False
+                first, last = first[~stays], last[~stays]
                 kept.append(body[~gone].tobytes())
                 removed.append(int((last - first).sum()))
                 count.append(len(first))

@@ -161,6 +161,23 @@ def test_chunks_of_short_passages(spark, letters, size):
     assert all(0 < got[300 + i]["n_removed"] <= len(p.encode()) + 8 for i, p in enumerate(passages))
 
 
+def test_chance_repeats_stay(spark):
+    """Lone short chunks that two texts share stay; short texts that are copies as a whole go, all but the first."""
+    rng = np.random.default_rng(9)
+
+    def words(n):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+
+    phrases = [words(6) for _ in range(200)]
+    texts = [f"{words(60)} {p} {words(60)}" for _ in range(2) for p in phrases] + ["short exact copy"] * 3 + ["short exact", "copy", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in chunk_dedup.substring_dedup(docs).collect()}
+    assert not any(got[i]["n_removed"] for i in range(400))
+    assert [got[i]["n_removed"] for i in range(400, 406)] == [0, 16, 16, 0, 0, 0]
+    longer = {r["doc_id"]: r["n_removed"] for r in chunk_dedup.substring_dedup(docs, 64).collect()}
+    assert longer == {i: r["n_removed"] for i, r in got.items()}
+
+
 def test_moved_chunks_count():
     """Between two ends no chunk is too short to count, also where an end moves out of a character."""
     rng = np.random.default_rng(6)
