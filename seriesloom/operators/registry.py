@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 TERMINAL = ("completed", "failed", "cancelled")
 
 
+def expired(now: Column, days: int, terminal=TERMINAL) -> Column:
+    """True for terminal runs that completed more than ``days`` ago."""
+    old = F.col("status").isin(*terminal) & (F.col("completed_at") < now - F.make_dt_interval(days=F.lit(days)))
+    return F.coalesce(old, F.lit(False))
+
+
 def keep_recent_runs(runs: DataFrame, now: Column, days: int, terminal=TERMINAL) -> DataFrame:
     """Drop terminal runs that completed more than ``days`` ago."""
-    expired = F.col("status").isin(*terminal) & (F.col("completed_at") < now - F.make_dt_interval(days=F.lit(days)))
-    return runs.filter(~F.coalesce(expired, F.lit(False)))
+    return runs.filter(~expired(now, days, terminal))
 
 
 def runs_by_status(runs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.panel import select_panel, to_stamp
+from seriesloom.sources.dates import date_vote, with_dates
 
 # Accepted extensions, size limit, signature and date words.
 EXTENSIONS = ("csv", "xlsx", "json")
@@ -153,6 +154,18 @@ def detect_date_column(df: DataFrame) -> str | None:
     return typed[0] if typed else None
 
 
+def detect_date_texts(df: DataFrame) -> str | None:
+    """The text column of which the largest share (over 0.8) reads as dates of one form; a name with a date word settles ties."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    best = (0.8, False, None)
+    for c in names:
+        vote = date_vote(df, c).first()
+        share = vote["parsed"] / vote["filled"] if vote["filled"] else 0.0
+        mine = (share, any(w in c.lower() for w in DATE_WORDS), c)
+        best = mine if mine[:2] > best[:2] else best
+    return best[2]
+
+
 def detect_value_column(df: DataFrame, exclude: str | None) -> str | None:
     """First numeric column other than the date; schema only."""
     for f in df.schema.fields:
@@ -161,12 +174,18 @@ def detect_value_column(df: DataFrame, exclude: str | None) -> str | None:
     return None
 
 
-def finalise(df: DataFrame, date_col: str | None = None, value_col: str | None = None, series: Column | None = None) -> DataFrame:
-    """Detected or chosen columns as a canonical panel."""
-    date_col = date_col or detect_date_column(df)
+def finalise(df: DataFrame, date_col: str | None = None, value_col: str | None = None, series: Column | None = None, forms: bool = False, strict: bool = False) -> DataFrame:
+    """Detected or chosen columns as a canonical panel.
+
+    With ``forms`` date texts are read in the form that most of them have; others
+    leave the panel, or end the job with their number if ``strict``.
+    """
+    date_col = date_col or detect_date_column(df) or (detect_date_texts(df) if forms else None)
     value_col = value_col or detect_value_column(df, date_col)
     if date_col is None or value_col is None:
         raise ValueError("No usable date or value column was found.")
+    if forms and isinstance(df.schema[date_col].dataType, T.StringType):
+        df = with_dates(df, date_col, date_vote(df, date_col), to=date_col, strict=strict)
     return select_panel(df, date_col, value_col, series)
 
 
