@@ -11,20 +11,18 @@ from pyspark.sql import functions as F
 BLOCK, PIECE, STEP = 4096, 65_536, 512
 
 
-def _matrix(column: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows of the vectors with ``size`` numbers, and which of all rows those are."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def _units(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of length one for every vector of ``size`` numbers, and which rows have such a direction."""
     lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    starts = column.offsets.to_numpy()[:-1]
     mine = np.flatnonzero(lengths == size)
     numbers = column.values.to_numpy(zero_copy_only=False).astype(float)
-    rows = numbers[starts[mine][:, None] + np.arange(size)] if size else np.empty((len(mine), 0))
+    rows = np.zeros((len(column), size))
+    rows[mine] = numbers[column.offsets.to_numpy()[mine][:, None] + np.arange(size)]
     norm = np.sqrt((rows * rows).sum(1))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        rows = rows / norm[:, None]
     # a vector of zeros, or with a null or non-finite number, has no direction
-    good = np.isfinite(rows).all(1) & (norm > 0)
-    return rows[good], mine[good]
+    good = np.isfinite(norm) & (norm > 0)
+    rows[~good] = 0
+    return rows / np.where(good, norm, 1)[:, None], good
 
 
 def _best(score: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,20 +44,21 @@ def _task(k: int):
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         # ties go to the smaller key, so places follow the keys
         right = right.sort_by("key")
-        found = []
-        lengths = left["vector"].combine_chunks().value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-        for size in np.unique(lengths[lengths > 0]):
-            queries, asked = _matrix(left["vector"], int(size))
-            score = np.empty((len(queries), 0))
-            place = np.empty((len(queries), 0), np.int64)
+        vectors = left["vector"].combine_chunks()
+        lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for size in np.unique(lengths):
+            asked = np.flatnonzero(lengths == size)
+            queries, directed = _units(vectors.take(pa.array(asked)), int(size))
+            score, place = np.empty((len(asked), 0)), np.empty((len(asked), 0), np.int64)
             for start in range(0, len(right), STEP):
-                rows, at = _matrix(right.slice(start, STEP)["vector"], int(size))
-                if len(queries) and len(rows):
-                    score, place = _best(np.hstack([score, queries @ rows.T]), np.hstack([place, np.broadcast_to(at + start, (len(queries), len(at)))]), k)
+                rows, good = _units(right.slice(start, STEP)["vector"].combine_chunks(), int(size))
+                new = np.where(directed[:, None] & good, queries @ rows.T, -np.inf)
+                score, place = _best(np.hstack([score, new]), np.hstack([place, np.broadcast_to(start + np.arange(len(rows)), new.shape)]), k)
             found.append((np.repeat(asked, place.shape[1]), place.ravel(), score.ravel()))
-        who, where, score = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
-        return pa.table({"query_id": left["query_id"].take(pa.array(who.astype(np.int64))), "key": right["key"].take(pa.array(where.astype(np.int64))),
-                         "similarity": pa.array(score.astype(float), pa.float64())})
+        who, where, score = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query_id": left["query_id"].take(pa.array(who)), "key": right["key"].take(pa.array(where)),
+                         "similarity": pa.array(score, pa.float64(), mask=np.isinf(score))})
 
     return work
 
@@ -72,9 +71,9 @@ def nearest_rows(corpus: DataFrame, queries: DataFrame, k: int = 3, vector: str
     piece at a time and holds ``k`` rows a query; ranks then merge, first a few pieces at a time.
     So the corpus moves once per query block, and no task or array grows with either table.
 
-    Ties go to the smaller key. Vectors that are NULL, of zeros, or with a null or
-    non-finite number are nobody's neighbours and have none; so do queries whose
-    length no corpus vector has. Equal query ids with equal vectors count once.
+    Ties go to the smaller key. A pair has a NULL similarity, and ranks last, where
+    one vector is NULL, of zeros or has a null or non-finite number, or where their
+    lengths differ. Equal query ids with equal vectors count once.
     """
     blocks = F.greatest(F.lit(1), F.ceil(queries.agg(F.count(F.lit(1))).scalar() / block)).cast("int")
     pieces = F.greatest(F.lit(1), F.ceil(corpus.agg(F.count(F.lit(1))).scalar() / piece)).cast("int")
@@ -91,7 +90,7 @@ def nearest_rows(corpus: DataFrame, queries: DataFrame, k: int = 3, vector: str
         return rows.append_column("_piece", pa.array(np.full(len(rows), names[1].as_py(), np.int32)))
 
     near = asked.groupBy("_block", "_piece").cogroup(held.groupBy("_block", "_piece")).applyInArrow(pair, f"query_id {ids}, key {keys}, similarity double, _piece int")
-    order = [F.col("similarity").desc(), F.col("key")]
+    order = [F.col("similarity").desc_nulls_last(), F.col("key")]
     # pieces of a stripe first, so that a query's last merge holds the square root of its rows
     stripe = F.floor(F.sqrt(pieces.cast("double"))).cast("int")
     some = near.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", F.pmod("_piece", stripe)).orderBy(*order))).filter(F.col("_r") <= k)

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.text import chunks
-
-MAX_QUERIES = 10_000
-
+from seriesloom.operators.nearest import nearest_rows
 
 def chunk_table(docs: DataFrame, key: Column, text: Column, size: int = 400, overlap: int = 80, **meta: Column) -> DataFrame:
     """One row per chunk with id ``key__i`` and metadata columns."""
@@ -43,27 +41,9 @@ def metadata_filter(df: DataFrame, equals: dict[str, str]) -> DataFrame:
     return out
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int = 3, vector: str = "embedding",
-                 key: str = "vec_id") -> DataFrame:
-    """Exact ``k`` nearest rows per query by cosine similarity.
-
-    Queries travel as one array value (at most ``MAX_QUERIES``, checked), so
-    the corpus is scanned once and never shuffled whole: the rank filter keeps
-    ``k`` rows per query inside each task before the exchange.
-    """
-    packed = queries.agg(
-        F.collect_list(F.struct("query_id", F.col("vector").alias("v"), F.sqrt(_dot(F.col("vector"), F.col("vector"))).alias("n"))).alias("q"))
-    checked = packed.select(F.when(
-        F.size("q") > MAX_QUERIES, F.raise_error(F.lit("Too many query vectors; run them in batches."))).otherwise(F.col("q")))
-    rows = corpus.withColumn("_n", F.sqrt(_dot(F.col(vector), F.col(vector)))).withColumn("_q", F.explode(checked.scalar()))
-    score = F.try_divide(_dot(F.col(vector), F.col("_q.v")), F.col("_n") * F.col("_q.n"))
-    scored = rows.select(F.col("_q.query_id").alias("query_id"), key, score.alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), F.col(key))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int = 3, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """Exact ``k`` nearest rows per query (query_id, vector) by cosine similarity, for any number of queries."""
+    return nearest_rows(corpus, queries, k, vector, key)
 
 
 def top_and_bottom(df: DataFrame, by: str, value: str, tie: Sequence[str], k: int = 5) -> DataFrame:

@@ -56,6 +56,17 @@ def cosine_topk(spark, d):
     return T.cosine_top_k(e, centroids).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("cosine_neighbours", """
+WITH e AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM e GROUP BY 1),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, sum(a.x * b.x) / (any_value(m.n) * any_value(n.n)) AS s FROM e a JOIN e b USING (i) JOIN n m ON m.vec_id = a.vec_id JOIN n ON n.vec_id = b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1, 2)
+SELECT query_id, vec_id, round(s, 6) AS similarity, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rk FROM s) WHERE rk <= 5""")
+def cosine_neighbours(spark, d):
+    """Five nearest rows of every twentieth vector among all vectors."""
+    e = P.table(spark, d, "embeddings")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return T.cosine_top_k(e, asked, 5).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query("filtered_scan", "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND source = 'src1'")
 def filtered_scan(spark, d):
     return T.metadata_filter(P.table(spark, d, "documents"), {"lang": "en", "source": "src1"}).select("doc_id", "n_chars")
