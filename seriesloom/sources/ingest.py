@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from xml.etree import ElementTree
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +9,13 @@ from pyspark.sql import types as T
 
 from seriesloom.operators.panel import select_panel, to_stamp
 from seriesloom.sources.dates import date_vote, with_dates
+from seriesloom.sources.workbook import sheet_rows
 
 # Accepted extensions, size limit, signature and date words.
 EXTENSIONS = ("csv", "xlsx", "json")
 MAX_BYTES = 100 * 1024 * 1024
 XLSX_MAGIC = "504B0304"
 DATE_WORDS = ("date", "time", "month", "year", "day", "period", "ds", "timestamp")
-_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -48,37 +43,11 @@ def columns_to_rows(df: DataFrame) -> DataFrame:
     return checked.filter(F.col("_ok").isNull()).select(F.inline(F.arrays_zip(*df.columns)))
 
 
-def _sheet_rows(content: bytes) -> list[list[str | None]]:
-    """Cell texts of the first sheet of a workbook."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-            shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in root.iter(f"{_NS}si")]
-        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
-        rows = []
-        for row in ElementTree.fromstring(book.read(sheet)).iter(f"{_NS}row"):
-            cells: dict[int, str | None] = {}
-            for cell in row.iter(f"{_NS}c"):
-                letters = re.match(r"[A-Z]+", cell.get("r", "A")).group()
-                at = 0
-                for ch in letters:
-                    at = at * 26 + ord(ch) - 64
-                value = cell.find(f"{_NS}v")
-                inline = cell.find(f"{_NS}is")
-                if inline is not None:
-                    cells[at - 1] = "".join(t.text or "" for t in inline.iter(f"{_NS}t"))
-                elif value is not None:
-                    cells[at - 1] = shared[int(value.text)] if cell.get("t") == "s" else value.text
-            rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-        return rows
-
-
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """Workbooks as long cells ``path, row, column, text``; files are read in parallel.
 
     A workbook is at most the upload limit, so one file per task is bounded.
+    The first tab is read unless ``sheet`` names another; dates come as ISO text.
     The first row names the columns; cells beyond it are named by position. An
     empty or oversized file fails the read and is named.
     """
@@ -90,7 +59,7 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             out = []
             for p, content in zip(pdf["path"], pdf["content"]):
-                rows = _sheet_rows(content)
+                rows = sheet_rows(content, sheet)
                 head = rows[0] if rows else []
                 width = max(map(len, rows), default=0)
                 head = [*head, *(f"column_{k + 1}" for k in range(len(head), width))]
