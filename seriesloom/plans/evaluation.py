@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from seriesloom.operators.outliers import treat_outliers, winsorise
 from seriesloom.operators.quality import constant_and_skew
 from seriesloom.operators.selection import select_models
 from seriesloom.operators.smooth import smooth
+from seriesloom.operators.stretches import fold_features
 from seriesloom.staging import stage
 
 FK = ("series_id", "fold", "kind")
@@ -28,20 +30,41 @@ FK = ("series_id", "fold", "kind")
 
 @dataclass(frozen=True)
 class Backtest:
-    """Frames of one evaluation; the training windows are written when it is made, the rest is lazy."""
+    """Frames of one evaluation. Training windows copy rows for every fold and are written when a candidate first asks for them.
+
+    ``features`` are those of the baselines where no window is needed for them.
+    """
 
     panel: DataFrame
     folds: DataFrame
-    train: DataFrame
+    windows: DataFrame
     actuals: DataFrame
     period: int
     horizon: int
+    features: DataFrame | None = None
+
+    @cached_property
+    def train(self) -> DataFrame:
+        return stage(self.windows, "train")
+
+    @cached_property
+    def _features(self) -> DataFrame:
+        made = self.features if self.features is not None else C.baseline_features(self.train, self.period, FK, ("horizon",))
+        return stage(made, "features")
+
+    def first_window(self, kind: str) -> DataFrame:
+        """Training rows of the first rolling fold, or of the final one; without a copy for the others."""
+        mine = F.col("kind") == kind
+        if kind == "rolling":
+            mine = mine & (F.col("fold") == 0)
+        if self.features is None:
+            return self.train.filter(mine)
+        return impute_training(FO.training_windows(self.panel, self.folds.filter(mine)), keys=FK)
 
     def baselines(self) -> DataFrame:
         constant = self.panel.groupBy("series_id").agg(
             F.coalesce(F.stddev_pop("value") <= 1e-8, F.lit(False)).alias("_const"))
-        feats = C.baseline_features(self.train, self.period, FK, ("horizon",)).join(constant, "series_id")
-        return C.baseline_forecasts(feats, self.period, FK, F.col("_const"))
+        return C.baseline_forecasts(self._features.join(constant, "series_id"), self.period, FK, F.col("_const"))
 
     def smoothing(self) -> DataFrame:
         return C.ses_forecasts(stage(level_fit(self.train, FK, ["horizon"]), "level-fit"), FK)
@@ -60,10 +83,7 @@ class Backtest:
         """Aligned errors with the scale of the first fold (or of the final window)."""
         mine = predictions.filter(F.col("kind") == kind)
         pairs = M.pair_errors(self.actuals, mine, [*FK, "h"])
-        window = self.train.filter(F.col("kind") == kind)
-        if kind == "rolling":
-            window = window.filter(F.col("fold") == 0)
-        return pairs.join(M.naive_scale(window, self.period), "series_id", "left")
+        return pairs.join(M.naive_scale(self.first_window(kind), self.period), "series_id", "left")
 
 
 def prepare_training(train: DataFrame, keys=FK, outliers: str = "none", imputation: str = "interpolate",
@@ -79,9 +99,10 @@ def prepare_training(train: DataFrame, keys=FK, outliers: str = "none", imputati
 def backtest(panel: DataFrame, period: int, horizon: int, block: int | None = None, **prep) -> Backtest:
     """Plan folds and fold-safe training windows for a gridded panel (gaps as NULL)."""
     folds = FO.fold_plan(FO.series_sizes(panel), horizon)
-    # read by every candidate, the scale and the transforms
-    train = stage(prepare_training(FO.training_windows(panel, folds), FK, block=block, **prep), "train")
-    return Backtest(panel, folds, train, FO.test_windows(panel, folds), period, horizon)
+    windows = prepare_training(FO.training_windows(panel, folds), FK, block=block, **prep)
+    # other preparations than interpolation need each window by itself
+    features = None if prep else fold_features(panel, folds, period, block)
+    return Backtest(panel, folds, windows, FO.test_windows(panel, folds), period, horizon, features)
 
 
 def evidence_from(metrics: DataFrame) -> DataFrame:
