@@ -111,7 +111,7 @@ o AS (SELECT series_id, count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value >
 c AS (SELECT series_id, count(*) AS row_count, count(value) AS usable_observations,
    date_diff('month', min(ts), max(ts)) + 1 - count(*) AS missing_periods FROM sup_raw GROUP BY 1)
 SELECT series_id, row_count, usable_observations, missing_periods, missing_periods = 0 AS is_regular, outlier_count,
-  CASE WHEN missing_periods > 0 THEN 'Irregular intervals or timestamp gaps found.' ELSE '' END AS issues,
+  CASE WHEN missing_periods > 0 THEN 'gaps' ELSE '' END AS issues,
   array_to_string(list_filter([CASE WHEN outlier_count > 0 THEN 'outliers' END,
     CASE WHEN usable_observations < 20 THEN 'short_series' END,
     CASE WHEN 12 > greatest(usable_observations, 1) THEN 'horizon_exceeds_history' END], lambda x: x IS NOT NULL), '; ') AS warnings,
