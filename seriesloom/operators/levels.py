@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.operators.quantiles import series_quantiles
+from seriesloom.operators.quantiles import list_quantile, series_quantiles
 from seriesloom.operators.scans import _BLK
+from seriesloom.staging import stage
 
 #: Blocks composed in one row; two such levels span 2**18 blocks, a third the rest.
 FAN = 512
@@ -77,12 +78,18 @@ def _then(s: Column, m: Column) -> Column:
 def level_blocks(rows: DataFrame, keys: Sequence[str], carry: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """(keys, carry, _blk, xs, _first, n_train, v0): ordered non-null values, less the first one ``v0``, of each block of positions ``t``."""
     keys = list(keys)
-    seen = rows.filter(F.col("value").isNotNull()).select(*keys, *carry, F.floor(F.col("t") / block).alias(_BLK), F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("v"))
+    # a window without a key gets no fit
+    known = F.col("value").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    seen = rows.filter(known).select(*keys, *carry, F.floor(F.col("t") / block).alias(_BLK), F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("v"))
     blocks = seen.groupBy(*keys, _BLK).agg(*[F.first(c).alias(c) for c in carry], F.array_sort(F.collect_list(F.struct("t", "v"))).alias("xs"))
-    least = seen.groupBy(*keys).agg(F.min(_BLK).alias("_least"), F.count(F.lit(1)).alias("n_train"), F.min_by("v", "t").alias("v0"))
+    # blocks, not rows, meet once more for what they share
+    w = Window.partitionBy(*keys)
+    blocks = blocks.withColumns({"_least": F.min(_BLK).over(w), "n_train": F.sum(F.size("xs").cast("long")).over(w), "v0": F.min_by(F.element_at("xs", 1)["v"], _BLK).over(w)})
     # measured from the first value, so that forms of a level series cancel exactly
     shifted = F.transform("xs", lambda x: F.struct(x["t"].alias("t"), (x["v"] - F.col("v0")).alias("v")))
-    return blocks.join(least, keys).withColumns({"_first": F.col(_BLK) == F.col("_least"), "xs": shifted}).drop("_least")
+    return blocks.withColumns({"_first": F.col(_BLK) == F.col("_least"), "xs": shifted}).drop("_least")
 
 
 def level_grid(blocks: DataFrame, keys: Sequence[str], alphas: Sequence[float] = tuple(ALPHA_GRID), fan: int = FAN) -> DataFrame:
@@ -109,8 +116,35 @@ def level_grid(blocks: DataFrame, keys: Sequence[str], alphas: Sequence[float] =
     return whole.select(*keys, "k", F.element_at(F.array(*map(F.lit, alphas)), F.col("k") + 1).alias("alpha"), F.col("m.b").alias("level"), F.col("m.q0").alias("sse"))
 
 
+def whole_grid(windows: DataFrame, keys: Sequence[str], kept: Sequence[str] = (), alphas: Sequence[float] = tuple(ALPHA_GRID)) -> DataFrame:
+    """(keys, kept, alpha, sse, level over ``v0``): the best level of windows that are one block each; a trial makes no row.
+
+    A one-step error is the step from the value before plus (1 - alpha) times the error before.
+    """
+    # a window costs milliseconds: dealt evenly, not by bytes
+    windows = windows.repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    steps = F.zip_with(F.slice("xs", 2, F.size("xs") - 1), F.slice("xs", 1, F.size("xs") - 1), lambda y, x: y["v"] - x["v"])
+    rows = windows.select(*keys, *kept, F.element_at("xs", -1)["v"].alias("_y"), steps.alias("_d"))
+    trials = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(a)).alias("a"), F.lit(1.0 - a).alias("r")) for k, a in enumerate(alphas)])
+
+    def tried(trial: Column) -> Column:
+        # ``s`` holds the squares of the errors before ``e``
+        start = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("s"))
+        return F.aggregate("_d", start, lambda z, d: F.struct((d + trial["r"] * z["e"]).alias("e"), (z["s"] + z["e"] * z["e"]).alias("s")), lambda z: F.struct(
+            (z["s"] + z["e"] * z["e"]).alias("sse"), trial["k"].alias("k"), trial["a"].alias("alpha"), (F.col("_y") - trial["r"] * z["e"]).alias("level")))
+
+    return rows.withColumn("_b", F.array_min(F.transform(trials, tried))).select(*keys, *kept, "_b.alpha", "_b.sse", "_b.level")
+
+
+def _error_list(entered: Column) -> Column:
+    """One-step errors of a block's values with the level that ``entered`` it; the first value of a window has none."""
+    errors = F.aggregate("xs", F.struct(entered.alias("x"), F.array().cast("array<double>").alias("out")), lambda s, x: F.struct(
+        ((1 - F.col("alpha")) * s["x"] + F.col("alpha") * x["v"]).alias("x"), F.concat(s["out"], F.array(x["v"] - s["x"])).alias("out")), lambda s: s["out"])
+    return F.when(F.col("_first"), F.slice(errors, 2, F.greatest(F.size("xs") - 1, F.lit(1)))).otherwise(errors)
+
+
 def level_errors(blocks: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, t, resid): one-step errors under the ``chosen`` (keys, alpha); the first value has none."""
+    """(keys, _blk, resid): the one-step errors of each block, in order, under the ``chosen`` (keys, alpha)."""
     keys = list(keys)
     mine = blocks.join(chosen.select(*keys, "alpha"), keys)
     a = F.when(F.col("_first"), F.lit(0.0)).otherwise(F.pow(1 - F.col("alpha"), F.size("xs")))
@@ -118,12 +152,7 @@ def level_errors(blocks: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> D
     b = F.aggregate("xs", start, lambda s, x: (1 - F.col("alpha")) * s + F.col("alpha") * x["v"])
     entered = mine.join(affine_carry(mine.select(*keys, _BLK, a.alias("a"), b.alias("b")), keys), [*keys, _BLK])
     first = F.when(F.col("_first"), F.element_at("xs", 1)["v"]).otherwise(F.col("x"))
-    none = F.array().cast("array<struct<t:bigint,resid:double>>")
-    errors = F.aggregate("xs", F.struct(first.alias("x"), none.alias("out")), lambda s, x: F.struct(
-        ((1 - F.col("alpha")) * s["x"] + F.col("alpha") * x["v"]).alias("x"),
-        F.concat(s["out"], F.array(F.struct(x["t"].alias("t"), (x["v"] - s["x"]).alias("resid")))).alias("out")), lambda s: s["out"])
-    kept = F.when(F.col("_first"), F.slice(errors, 2, F.greatest(F.size("xs") - 1, F.lit(1)))).otherwise(errors)
-    return entered.select(*keys, F.inline(kept))
+    return entered.select(*keys, _BLK, _error_list(first).alias("resid"))
 
 
 def level_fit(rows: DataFrame, keys: Sequence[str], carry: Sequence[str] = (), with_resid: bool = False, unbounded: bool = False, block: int = BLOCK) -> DataFrame:
@@ -133,20 +162,42 @@ def level_fit(rows: DataFrame, keys: Sequence[str], carry: Sequence[str] = (), w
     which resampling the residuals converges to), n_train; ``with_resid`` also the
     residuals as an array (for windows that fit a row). Under three values a window is
     ``not_estimable`` with its last value as level. ``unbounded`` is for windows
-    whose residuals one quantile buffer should not hold.
+    whose residuals one row should not hold. A window of one block is fitted
+    where it lies; only longer ones send a row for each trial through exchanges.
     """
     keys, carry = list(keys), list(carry)
-    blocks = level_blocks(rows, keys, carry, block)
-    sizes = blocks.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carry], F.first("n_train").alias("n_train"), F.first("v0").alias("v0"), F.max_by(F.element_at("xs", -1)["v"], _BLK).alias("_last"))
-    usable = blocks.filter(F.col("n_train") >= 3)
-    best = level_grid(usable, keys).groupBy(*keys).agg(F.min(F.struct("sse", "k", "alpha", "level")).alias("_b")).select(*keys, "_b.alpha", "_b.sse", "_b.level")
-    errors = level_errors(usable, best, keys)
-    band = series_quantiles(errors, keys, "resid", [0.025, 0.975], unbounded)
-    out = sizes.join(best, keys, "left").join(band.select(*keys, F.col("q0").alias("band_lo"), F.col("q1").alias("band_hi")), keys, "left")
-    fields = ["status", "alpha", "sse", "level", "band_lo", "band_hi"]
-    if with_resid:
-        lists = errors.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "resid"))), lambda s: s["resid"]).alias("resid"))
-        out = out.join(lists, keys, "left").withColumn("resid", F.coalesce("resid", F.array().cast("array<double>")))
-        fields.append("resid")
-    out = out.withColumn("status", F.when(F.col("alpha").isNull(), "not_estimable").otherwise("ok")).withColumn("level", F.coalesce("level", "_last") + F.col("v0"))
-    return out.select(*keys, *carry, *fields, F.col("n_train").cast("int").alias("n_train"))
+    blocks = stage(level_blocks(rows, keys, carry, block), "level-blocks")
+    n, last = F.col("n_train"), F.element_at("xs", -1)["v"]
+    whole = blocks.filter((n >= 3) & (F.size("xs") == n))
+    one = whole_grid(whole, keys, [*carry, "n_train", "v0", "xs", "_first"]).withColumn("resid", _error_list(F.element_at("xs", 1)["v"]))
+
+    def ended(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in [*carry, "n_train", "v0"]], F.max_by(last, _BLK).alias("_last"))
+
+    short = ended(blocks.filter(n < 3))
+    cut = blocks.filter((n >= 3) & (F.size("xs") < n))
+    best = level_grid(cut, keys).groupBy(*keys).agg(F.min(F.struct("sse", "k", "alpha", "level")).alias("_b")).select(*keys, "_b.alpha", "_b.sse", "_b.level")
+    errors = level_errors(cut, best, keys)
+    many = ended(cut).join(best, keys)
+    if with_resid or not unbounded:
+        lists = errors.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(_BLK, "resid"))).alias("_r"))
+        many = many.join(lists.select(*keys, F.flatten(F.transform("_r", lambda r: r["resid"])).alias("resid")), keys)
+    probs = {"band_lo": 0.025, "band_hi": 0.975}
+
+    def banded(df: DataFrame) -> DataFrame:
+        ordered = df.withColumn("_o", F.array_sort("resid"))
+        return ordered.withColumns({name: list_quantile(F.col("_o"), p) for name, p in probs.items()}).drop("_o")
+
+    if unbounded:
+        band = series_quantiles(errors.select(*keys, F.explode("resid").alias("resid")), keys, "resid", list(probs.values()), True)
+        many = many.join(band.select(*keys, F.col("q0").alias("band_lo"), F.col("q1").alias("band_hi")), keys)
+    else:
+        many = banded(many)
+    fields = ["alpha", "sse", "level", *probs] + (["resid"] if with_resid else [])
+    none = {c: F.lit(None).cast("double") for c in fields} | ({"resid": F.array().cast("array<double>")} if with_resid else {})
+    out = None
+    for part, status in ((banded(one), "ok"), (many, "ok"), (short.withColumns(none).withColumn("level", F.col("_last")), "not_estimable")):
+        part = part.select(*keys, *carry, F.lit(status).alias("status"), *[(F.col(c) + F.col("v0")).alias(c) if c == "level" else F.col(c) for c in fields], n.cast("int").alias("n_train"))
+        out = part if out is None else out.unionByName(part)
+    # a caller's filter on a fit would else be pushed below the search and repeat it
+    return stage(out, "level-fit")

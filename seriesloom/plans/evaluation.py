@@ -52,6 +52,10 @@ class Backtest:
         made = self.features if self.features is not None else C.baseline_features(self.train, self.period, FK, ("horizon",))
         return stage(made, "features")
 
+    @cached_property
+    def transformed(self) -> DataFrame:
+        return stage(transformed_windows(self), "transformed")
+
     def first_window(self, kind: str) -> DataFrame:
         """Training rows of the first rolling fold, or of the final one; without a copy for the others."""
         mine = F.col("kind") == kind
@@ -67,7 +71,7 @@ class Backtest:
         return C.baseline_forecasts(self._features.join(constant, "series_id"), self.period, FK, F.col("_const"))
 
     def smoothing(self) -> DataFrame:
-        return C.ses_forecasts(stage(level_fit(self.train, FK, ["horizon"]), "level-fit"), FK)
+        return C.ses_forecasts(level_fit(self.train, FK, ["horizon"]), FK)
 
     def candidates(self) -> DataFrame:
         """The baselines each series should get: a constant one only the constant."""
@@ -187,7 +191,7 @@ def untransform_fits(fits: DataFrame) -> DataFrame:
 def transformed_smoothing(bt: Backtest) -> DataFrame:
     """Simple smoothing fitted on the transformed scale and mapped back."""
     extra = ("horizon", "transform", "lmbda", "shift")
-    fit = level_fit(transformed_windows(bt), FK, extra, with_resid=True)
+    fit = level_fit(bt.transformed, FK, extra, with_resid=True)
     flat = lambda c: F.array_repeat(c, F.col("horizon").cast("int"))
     fits = fit.select(
         *FK, *extra, "resid", "status", F.lit("EWMA").alias("model"), F.lit(3).alias("ord"), flat(F.col("level")).alias("yhat"),
@@ -197,7 +201,7 @@ def transformed_smoothing(bt: Backtest) -> DataFrame:
 
 def transformed_kernels(bt: Backtest) -> DataFrame:
     """Solver-backed candidates fitted on the transformed scale and mapped back."""
-    windows = stage(pack(transformed_windows(bt), FK, carry=["horizon", "transform", "lmbda", "shift"]), "windows")
+    windows = stage(pack(bt.transformed, FK, carry=["horizon", "transform", "lmbda", "shift"]), "windows")
     params = windows.select(*FK, "transform", "lmbda", "shift")
     plain = windows.select(*FK, "horizon", "x")
     fits = FT.arima(plain, FK).unionByName(FT.sarima(plain, bt.period, FK)).unionByName(
