@@ -78,3 +78,15 @@ def test_list_quantile(spark):
 
     got = {r["k"]: (r["lo"], r["hi"]) for r in df.select("k", list_quantile(F.col("x"), 0.025).alias("lo"), list_quantile(F.col("x"), 0.975).alias("hi")).collect()}
     assert got["a"] == pytest.approx(np.quantile([1.0, 4.0, 9.0], [0.025, 0.975])) and got["b"] == (2.0, 2.0) and got["c"] == (None, None)
+
+
+def test_equal_quantiles_are_searched_once(monkeypatch):
+    import pandas as pd
+
+    from seriesloom.functions import tails
+
+    plain, calls = tails.t_quantile_value, []
+    monkeypatch.setattr(tails, "t_quantile_value", lambda a, b: calls.append(a) or plain(a, b))
+    got = tails.t_quantile.func(pd.Series([0.975] * 500), pd.Series([11.0] * 500))
+    assert len(calls) == 1
+    assert got.tolist() == pytest.approx([2.200985160082949] * 500)
