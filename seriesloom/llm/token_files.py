@@ -33,19 +33,23 @@ SHARD_IDS = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _best(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Which of the ascending places beat those that overlap them; of a run of equal ones every second does."""
-    touch = at[1:] == at[:-1] + 1
-    left, right = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+def _best(touch: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the ascending places beat those that overlap them (``touch``: with the place before); of a run of equal ones every second does."""
+    left, right = np.zeros(len(weight), np.uint64), np.zeros(len(weight), np.uint64)
     np.multiply(weight[:-1], touch, out=left[1:])
     np.multiply(weight[1:], touch, out=right[:-1])
     same = weight == left
     if not same.any():
         return (weight > left) & (weight > right)
-    index = np.arange(len(at))
-    first = np.maximum.accumulate(np.where(same, 0, index))
-    last = np.minimum.accumulate(np.where(np.append(~same[1:], True), index, len(at) - 1)[::-1])[::-1]
-    return (weight > left[first]) & (weight > right[last]) & ((index - first) % 2 == 0)
+    # only places in runs of equal ones look beyond their neighbours
+    end = np.append(same[1:], False)
+    wins = (same | (weight > left)) & (end | (weight > right))
+    head, tail = np.flatnonzero(~same & end), np.flatnonzero(same & ~end)
+    good = wins[head] & wins[tail]
+    size = tail - head + 1
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    wins[np.repeat(head, size) + within] = np.repeat(good, size) & (within % 2 == 0)
+    return wins
 
 
 def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -56,74 +60,91 @@ def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     by a hash, so that long copies shrink by a share in each round, not by one
     pair). A pair of old symbols never becomes more frequent, so a place whose
     pair occurs once is looked at again only when a new symbol comes beside it.
+    Symbols stay where they are and know their neighbours, so that a round costs
+    what its places cost, not the whole shard.
     """
+    n = len(ids)
     base = free = int(ids.max(initial=0)) + 1
     symbols, starts = ids.astype(np.int64), starts.astype(np.int64)
-    last = np.zeros(len(symbols), bool)
-    last[starts[starts > 0] - 1] = last[len(symbols) - 1 :] = True
-    may = ~last
-    rules, sizes = [], np.ones(base, np.int64)
+    after, before = np.arange(1, n + 1), np.arange(-1, n)
+    last, gone = np.zeros(n, bool), np.zeros(n, bool)
+    last[starts[starts > 0] - 1] = last[n - 1 :] = True
+    rules, at = [], np.flatnonzero(~last)
     while True:
-        at = np.flatnonzero(may)
-        key = symbols[at] << 32 | symbols[at + 1]
-        if len(at) > 4096:
-            # most pairs that occur once are alone in their slot of a hashed count
+        key = symbols[at] << 32 | symbols[after[at]]
+        if rules and len(at) > 4096:
+            # beside new symbols, most pairs that occur once are alone in their slot of a hashed count
             bits = min(22, len(at).bit_length() + 1)
             slot = (key.view(np.uint64) * _ODD >> np.uint64(64 - bits)).view(np.int64)
-            some = np.bincount(slot, minlength=1 << bits)[slot] > 1
-            may[at[~some]] = False
+            # places are picked by number: faster than by flags that change often
+            some = np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] > 1)
             at, key = at[some], key[some]
-        codes, pairs = pd.factorize(key)
+        codes, pairs = pd.factorize(key, size_hint=len(key) // 4)
         counts = np.bincount(codes, minlength=len(pairs))
-        again = counts[codes] > 1
-        may[at[~again]] = False
+        again = np.flatnonzero(counts[codes] > 1)
         at, codes = at[again], codes[again]
         if not len(at):
             break
         weight = (counts.astype(np.uint64) << np.uint64(32) | mix(pairs.view(np.uint64)) >> np.uint64(32))[codes]
-        wins = _best(at, weight)
+        wins = np.flatnonzero(_best(after[at[:-1]] == at[1:], weight))
         hit, won = at[wins], codes[wins]
         got = np.bincount(won, minlength=len(pairs))
         if got.max(initial=0) > 1:
-            more = got[won] > 1
+            more = np.flatnonzero(got[won] > 1)
             hit, won, used = hit[more], won[more], np.flatnonzero(got > 1)
         else:
             # no pair won twice: take the most frequent one on its own
             best = int(np.argmax(counts))
             places = at[codes == best]
-            hit = places[_best(places, np.ones(len(places), np.uint64))]
+            hit = places[_best(after[places[:-1]] == places[1:], np.ones(len(places), np.uint64))]
             if len(hit) < 2:
-                may[places] = False
+                # it stands twice in a run of three and nowhere else; so do others, which go with it
+                run = np.flatnonzero((after[at[:-1]] == at[1:]) & (codes[:-1] == codes[1:]))
+                idle = np.zeros(len(pairs), bool)
+                idle[codes[run]] = True
+                at = at[np.flatnonzero(~(idle & (counts == 2))[codes])]
                 continue
             won, used = np.full(len(hit), best), np.array([best])
         number = np.zeros(len(pairs), np.int64)
         number[used] = free + np.arange(len(used))
         free += len(used)
         rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1))
-        sizes = np.append(sizes, sizes[rules[-1]].sum(1))
+        out = after[hit]
         symbols[hit] = number[won]
-        may[hit] = may[np.maximum(hit - 1, 0)] = True
-        last[hit] = last[hit + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[hit + 1] = False
-        starts = starts - np.searchsorted(hit + 1, starts)
-        symbols, last = symbols[keep], last[keep]
-        may = may[keep] & ~last
-    return symbols, starts, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), sizes[base:], base
+        last[hit] = last[out]
+        gone[out] = gone[hit] = True
+        after[hit] = after[out]
+        before[after[hit]] = hit
+        # ascending runs, which a stable sort merges
+        near = np.append(hit, before[hit[hit > 0]])
+        at = np.concatenate([at[np.flatnonzero(~gone[at])], near[np.flatnonzero(~last[near])]])
+        gone[hit] = False
+        at.sort(kind="stable")
+        at = at[np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])]
+    kept = np.flatnonzero(~gone)
+    sizes, done = np.ones(free, np.int64), base
+    for made in rules:
+        sizes[done : done + len(made)] = sizes[made].sum(1)
+        done += len(made)
+    return symbols[kept], np.searchsorted(kept, starts), np.concatenate(rules) if rules else np.empty((0, 2), np.int64), sizes[base:], base
 
 
 def expand_symbols(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
     """Ids of a stretch of symbols; the expansion lengths say where each side of a rule goes."""
     def size(x: np.ndarray) -> np.ndarray:
-        return np.where(x < base, 1, lengths[np.maximum(x - base, 0)]) if len(lengths) else np.ones(len(x), np.int64)
+        sizes, new = np.ones(len(x), np.int64), np.flatnonzero(x >= base)
+        sizes[new] = lengths[x[new] - base]
+        return sizes
 
-    ends = np.cumsum(size(symbols))
-    out, at = np.empty(int(ends[-1]) if len(ends) else 0, np.int64), ends - size(symbols)
+    sizes = size(symbols)
+    ends = np.cumsum(sizes)
+    out, at = np.empty(int(ends[-1]) if len(ends) else 0, np.int64), ends - sizes
     while len(symbols):
-        plain = symbols < base
+        plain, new = np.flatnonzero(symbols < base), np.flatnonzero(symbols >= base)
         out[at[plain]] = symbols[plain]
-        pair, at = rules[symbols[~plain] - base], at[~plain]
-        symbols, at = pair.T.ravel(), np.append(at, at + size(pair[:, 0]))
+        rule, at = symbols[new] - base, at[new]
+        left = rules[rule, 0]
+        symbols, at = np.append(left, rules[rule, 1]), np.append(at, at + size(left))
     return out
 
 

@@ -59,3 +59,26 @@ def test_random_access():
     for i in rng.integers(0, len(starts), 200):
         a, b = sorted(rng.integers(0, counts[i] + 1, 2))
         assert (shard.document(int(i), int(a), int(b)) == ids[starts[i] + a : starts[i] + b]).all()
+
+
+def test_rounds_cost_their_places(monkeypatch):
+    """A few places that need many rounds among single pairs: the shard is not looked through in each of them."""
+    class Counted:
+        seen = 0
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def flatnonzero(self, x):
+            Counted.seen += len(x)
+            return np.flatnonzero(x)
+
+    once = np.random.default_rng(4).permutation(50_000) + 1000
+    threes = np.stack([np.arange(500) + 100_000] * 3 + [np.arange(500) + 200_000], 1).ravel()
+    nested = np.concatenate([np.r_[np.full(k, 2), k + 300_000] for k in range(2, 60)])
+    ids = np.concatenate([once, threes, nested])
+    starts = np.array([0, len(once), len(once) + len(threes)])
+    monkeypatch.setattr(token_files, "np", Counted())
+    symbols, at, rules, lengths, base = token_files.compress(ids, starts)
+    assert Counted.seen < 15 * len(ids)
+    assert (token_files.expand_symbols(symbols, rules, lengths, base) == ids).all() and left_over(symbols, at) < 2
